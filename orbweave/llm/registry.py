@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orbweave.llm import decontamination, sharding
+from orbweave.llm import bpe, decontamination, sharding
 
 
 def queries() -> dict:
     found = [
         sharding.op1_hypergeometric_sharding,
+        bpe.op5_byte_level_bpe,
         decontamination.op8_winnowing_decontamination,
     ]
     return {f.__name__: f for f in found}
