@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, decontamination, sharding
+from orbweave.llm import bpe, decontamination, quality, sharding
 
 
 def queries() -> dict:
     found = [
         sharding.op1_hypergeometric_sharding,
+        quality.op2_quadratic_discriminant_quality,
         bpe.op5_byte_level_bpe,
         decontamination.op8_winnowing_decontamination,
     ]
