@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ascii_lower, table
+from orbweave.llm.common import ascii_lower, cut, table
 
 #: Every character outside the word class, for texts whose ASCII letters are of one case or not.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
-#: Benchmark fingerprints (16 bytes each) that may be broadcast; more are joined by a shuffle.
+#: Fingerprints (16 bytes each) that may be broadcast, those of the benchmark or those hit; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -121,6 +121,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("text_key")
         .agg(F.collect_set("fp").alias("fps"))  # no more than a text has words
     )
+    hits = cut(hits, "hits")
+    if (hits.agg(F.sum(F.size("fps") + 4)).first()[0] or 0) <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
     found = texts.join(hits, "text_key").groupBy("text_key").agg(F.any_value("t").alias("t"), F.any_value("fps").alias("fps"))
     windows = None
     for m in lengths:
