@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, decontamination, quality, sharding
+from orbweave.llm import bpe, decontamination, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
     found = [
         sharding.op1_hypergeometric_sharding,
         quality.op2_quadratic_discriminant_quality,
+        toxicity.op4_noisy_channel_toxicity,
         bpe.op5_byte_level_bpe,
         decontamination.op8_winnowing_decontamination,
+        pii.op9_weakly_supervised_pii,
     ]
     return {f.__name__: f for f in found}
 
