@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, decontamination, pii, quality, sharding, toxicity
+from orbweave.llm import bpe, decontamination, pii, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         quality.op2_quadratic_discriminant_quality,
         toxicity.op4_noisy_channel_toxicity,
         bpe.op5_byte_level_bpe,
+        warc.op6_zip_packaged_warc,
         decontamination.op8_winnowing_decontamination,
         pii.op9_weakly_supervised_pii,
     ]
@@ -18,4 +19,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_winnowing_decontamination": decontamination.OP8_SQL}
+    return {
+        "op6_zip_packaged_warc": warc.OP6_SQL,
+        "op8_winnowing_decontamination": decontamination.OP8_SQL,
+    }
