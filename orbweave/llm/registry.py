@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, decontamination, pii, quality, sharding, toxicity, warc
+from orbweave.llm import bpe, decontamination, near_dedup, pii, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         warc.op6_zip_packaged_warc,
         decontamination.op8_winnowing_decontamination,
         pii.op9_weakly_supervised_pii,
+        near_dedup.op10_odd_sketch_near_dedup,
     ]
     return {f.__name__: f for f in found}
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_zip_packaged_warc": warc.OP6_SQL,
         "op8_winnowing_decontamination": decontamination.OP8_SQL,
+        "op10_odd_sketch_near_dedup": near_dedup.OP10_SQL,
     }
