@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, decontamination, near_dedup, pii, quality, sharding, toxicity, warc
+from orbweave.llm import bpe, cover_tree, decontamination, near_dedup, pii, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
     found = [
         sharding.op1_hypergeometric_sharding,
         quality.op2_quadratic_discriminant_quality,
+        cover_tree.op3_cover_tree_embedding_dedup,
         toxicity.op4_noisy_channel_toxicity,
         bpe.op5_byte_level_bpe,
         warc.op6_zip_packaged_warc,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_cover_tree_embedding_dedup": cover_tree.OP3_SQL,
         "op6_zip_packaged_warc": warc.OP6_SQL,
         "op8_winnowing_decontamination": decontamination.OP8_SQL,
         "op10_odd_sketch_near_dedup": near_dedup.OP10_SQL,
