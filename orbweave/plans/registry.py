@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.operators import candidates, conflicts
+from orbweave.operators import candidates, conflicts, sweeps
 
-MODULES = (candidates, conflicts)
+MODULES = (candidates, conflicts, sweeps)
 
 
 def queries() -> dict:
