@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.operators import candidates, conflicts, sweeps
+from orbweave.operators import candidates, catalogs, conflicts, schedules, sweeps, trajectories
 
-MODULES = (candidates, conflicts, sweeps)
+MODULES = (candidates, conflicts, sweeps, schedules, trajectories, catalogs)
 
 
 def queries() -> dict:
