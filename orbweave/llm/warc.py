@@ -1,13 +1,14 @@
 """WARC records in ZIP packages, read by range.
 
-A package is a ZIP file with stored members: WARC files under archive/ and an index of their records under indexes/.
-The writer makes packages of bounded size, one task each. The reader parses the end of the central directory (ZIP64
+A package is a ZIP file with stored members: WARC files under archive/, each record a gzip
+member of its own, and an index of their records under indexes/. The writer makes packages of bounded size, one task each. The reader parses the end of the central directory (ZIP64
 too), locates members, reads the index and then each record by its offset, without unpacking anything. Both go
 through a file system named by URI, so packages can lie in any store that the cluster shares.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 
 from orbweave.llm.common import cut, scratch_path, table
 
-#: Payload bytes that a package holds before the next one starts.
-PACKAGE_BYTES = 32_000_000
+#: Compressed record bytes that a package holds before the next one starts.
+PACKAGE_BYTES = 16_000_000
+GZIP_LEVEL = 3
 #: Payloads below this size are always stored in full.
 REVISIT_BYTES = 100
 BATCH_ROWS = 500
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
-INDEX, DATA = "indexes/index.cdxj", "archive/data.warc"
+INDEX, DATA = "indexes/index.cdxj", "archive/data.warc.gz"
 
 
 def _open(uri: str):
@@ -192,7 +194,7 @@ def read_records(index: DataFrame) -> DataFrame:
                     with fs.open_input_file(path) as file:
                         for offset, length in zip(own["offset"].tolist(), own["length"].tolist()):
                             file.seek(offset)
-                            r = parse_record(file.read(length))
+                            r = parse_record(gzip.decompress(file.read(length)))
                             if r["payload"] is not None and hashlib.sha256(r["payload"]).hexdigest() != r["payload_digest"]:
                                 raise ValueError(f"payload of {r['page_id']} does not match its digest")
                             rows.append(r)
@@ -224,7 +226,6 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     """
     spark = pages.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(frames):
         task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -235,7 +236,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
 
         for pdf in frames:
             for page_id, url, html, digest, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["digest"], pdf["refers"]):
-                raw = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers)
+                raw = gzip.compress(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers), GZIP_LEVEL, mtime=0)
                 if held and size + len(raw) > PACKAGE_BYTES:
                     yield flush()
                     k, held, size = k + 1, [], 0
@@ -247,7 +248,7 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     named = plan_records(pages).select(
         F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("refers_to").cast("string").alias("refers")
     )
-    written = named.repartition(parts).mapInPandas(run, "package string, n_records long, n_bytes long")
+    written = named.mapInPandas(run, "package string, n_records long, n_bytes long")
     return cut(written, "packages")
 
 
