@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, cover_tree, decontamination, near_dedup, pii, quality, sharding, toxicity, warc
+from orbweave.llm import bpe, cover_tree, decontamination, near_dedup, pii, quality, repeats, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         toxicity.op4_noisy_channel_toxicity,
         bpe.op5_byte_level_bpe,
         warc.op6_zip_packaged_warc,
+        repeats.op7_suffix_array_dedup,
         decontamination.op8_winnowing_decontamination,
         pii.op9_weakly_supervised_pii,
         near_dedup.op10_odd_sketch_near_dedup,
