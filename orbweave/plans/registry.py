@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbweave.operators import candidates, catalogs, conflicts, schedules, sweeps, trajectories
+from orbweave.operators import candidates, catalogs, conflicts, schedules, sweeps, texts, trajectories
 
-MODULES = (candidates, conflicts, sweeps, schedules, trajectories, catalogs)
+MODULES = (candidates, conflicts, sweeps, schedules, trajectories, catalogs, texts)
 
 
 def queries() -> dict:
