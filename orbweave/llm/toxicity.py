@@ -106,24 +106,38 @@ class CharacterModel:
         return min((cost + self.cost(before, " "), text) for (before, _), (cost, text) in paths.items())[1]
 
 
+#: Letters beyond this code point count as blanks in the character model.
+ALPHABET_END = 0x3000
+
+
+def trigram_counts(texts: list[str]) -> dict[str, int]:
+    """Letter trigrams of texts in lower case; anything else is a blank, and a word starts as if after two blanks."""
+    codes = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(codes < ALPHABET_END, codes, 32)
+    seen = np.flatnonzero(np.bincount(codes, minlength=ALPHABET_END))
+    letters = [c for c in seen.tolist() if chr(c).isalpha()]
+    number = np.zeros(ALPHABET_END, np.int64)
+    number[letters] = np.arange(1, len(letters) + 1)
+    x = np.concatenate(([0, 0], number[codes], [0]))
+    first, second, third = np.where(x[1:-1] == 0, 0, x[:-2]), x[1:-1], x[2:]
+    k = len(letters) + 1
+    gram = ((first * k + second) * k + third)[(second != 0) | (third != 0)]
+    if k**3 <= 8_000_000:
+        found = np.bincount(gram, minlength=1)
+        grams = np.flatnonzero(found)
+        counts = found[grams]
+    else:
+        grams, counts = np.unique(gram, return_counts=True)
+    sign = [" ", *map(chr, letters)]
+    return {sign[g // (k * k)] + sign[g // k % k] + sign[g % k]: n for g, n in zip(grams.tolist(), counts.tolist())}
+
+
 def character_counts(docs: DataFrame) -> DataFrame:
     """gram, n: letter trigrams of all texts, blanks at the ends of words."""
 
     def run(frames):
         for pdf in frames:
-            grams: Counter = Counter()
-            tokens: Counter = Counter()
-            words: Counter = Counter()
-            for text in pdf["text"]:
-                tokens.update((text or "").split())
-            for token, n in tokens.items():
-                for word in _WORD.findall(token.lower()):
-                    words[word] += n
-            for word, n in words.items():
-                if word.isalpha():
-                    word = f"  {word} "
-                    for i in range(len(word) - 2):
-                        grams[word[i : i + 3]] += n
+            grams = trigram_counts([t or "" for t in pdf["text"]])
             yield pd.DataFrame({"gram": list(grams), "n": list(grams.values())}, columns=["gram", "n"]).astype({"n": "int64"})
 
     return docs.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -143,9 +157,8 @@ def restored_words(text: str | None, model: CharacterModel, known: dict[str, str
     return words
 
 
-def features_of(word: str) -> list[str]:
-    """The word itself, marked by a sign, and its beginnings of four to six letters."""
-    return ["=" + word, *[word[:k] for k in (4, 5, 6) if len(word) >= k]]
+#: A feature is a whole word, marked by a sign, or the beginning of a word in as many letters.
+BEGINNINGS = (4, 5, 6)
 
 
 def _feature_counts(labelled: DataFrame, model) -> DataFrame:
@@ -153,14 +166,24 @@ def _feature_counts(labelled: DataFrame, model) -> DataFrame:
 
     def run(frames):
         known: dict[str, str] = {}
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush():
+            names = list(counts[0].keys() | counts[1].keys())
+            out = pd.DataFrame({"feature": names, "toxic": [counts[1][f] for f in names], "clean": [counts[0][f] for f in names]})
+            for c in counts:
+                c.clear()
+            return out.astype({"feature": "object", "toxic": "int64", "clean": "int64"})
+
         for pdf in frames:
-            counts: dict[str, list[int]] = {}
             for text, y in zip(pdf["text"], pdf["y"]):
-                for f in {f for w in restored_words(text, model.value, known) if len(w) <= 24 for f in features_of(w)}:
-                    counts.setdefault(f, [0, 0])[y] += 1
-            yield pd.DataFrame([(f, c[1], c[0]) for f, c in counts.items()], columns=["feature", "toxic", "clean"]).astype(
-                {"toxic": "int64", "clean": "int64"}
-            )
+                words = {w for w in restored_words(text, model.value, known) if len(w) <= 24}
+                counts[y].update({"=" + w for w in words})
+                for k in BEGINNINGS:
+                    counts[y].update({w[:k] for w in words if len(w) >= k})
+            if len(counts[0]) > 1_000_000:
+                yield flush()
+        yield flush()
 
     return labelled.mapInPandas(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -171,12 +194,17 @@ def _evidence(docs: DataFrame, keep: list[str], model, weights) -> DataFrame:
     def run(frames):
         known: dict[str, str] = {}
         get = weights.value.get
+        telling: dict[str, float] = {}  # weights of words met so far
         for pdf in frames:
             most, total = [], []
             for text in pdf.pop("__text"):
                 best = every = 0.0
                 for w in restored_words(text, model.value, known):
-                    own = max(get("=" + w, 0.0), get(w[:4], 0.0), get(w[:5], 0.0), get(w[:6], 0.0))
+                    own = telling.get(w)
+                    if own is None:
+                        if len(telling) > 2_000_000:
+                            telling.clear()
+                        own = telling[w] = max(get("=" + w, 0.0), *[get(w[:k], 0.0) for k in BEGINNINGS])
                     if own:
                         best = max(best, own)
                         every += own
@@ -204,8 +232,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = known.count()
     if n > MAX_TRAINING_ROWS:
         known = known.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_TRAINING_ROWS / n))
-    training = cut(docs.select("doc_id", "text").join(known, "doc_id").select("text", "y"), "toxic-training")
-    sizes = {r["y"]: r["n"] for r in training.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = F.broadcast(known)  # MAX_TRAINING_ROWS ids, on average, at most
+    training = docs.select("doc_id", "text").join(known, "doc_id").select("text", "y")
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     odds = (sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)
     # the share of toxic texts, as if both classes were equally frequent, is pure enough and not met by chance
     weight = F.log((F.col("toxic") + 0.1) / (F.col("clean") + 0.5) / odds)
