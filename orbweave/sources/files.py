@@ -171,7 +171,8 @@ def schedule_documents(assignment: DataFrame, unassigned: DataFrame, metrics: Da
 def new_labels(store: DataFrame, labels: DataFrame) -> DataFrame:
     """labels whose key the store lacks; a key with another payload, in either, is an error when rows are read."""
     both = store.select("key", "payload").union(labels.select("key", "payload"))
-    clash = both.groupBy("key").agg(F.count_distinct("payload").alias("n")).where("n > 1").select(F.raise_error(F.concat(F.lit("payloads differ for key "), "key")).cast("string").alias("key"))
+    error = F.raise_error(F.concat(F.lit("payloads differ for key "), "key")).cast("string")
+    clash = both.groupBy("key").agg(F.count_distinct("payload").alias("n")).where("n > 1").select(F.when(F.col("n") > 1, error).alias("key"))
     fresh = labels.dropDuplicates(["key"]).join(store.select("key"), "key", "left_anti")
     return fresh.join(clash, "key", "left_anti")
 
