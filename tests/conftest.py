@@ -31,7 +31,9 @@ def spark():
 
 
 def _plain(v):
-    if v is None or v != v:
+    import pandas as pd
+
+    if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     if isinstance(v, float) and v == int(v):
         return int(v)
