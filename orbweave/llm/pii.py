@@ -189,8 +189,8 @@ def span_classifier(found: DataFrame) -> dict[str, float]:
     return {c: float(1 / (1 + np.exp(-np.clip(np.dot(one_hot(c), w), -30, 30)))) for c in {r["features"] for r in rows}}
 
 
-def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep columns and `spans`: array of (kind, start, end, strict) by kind as in KINDS, then start.
+def find_spans(docs: DataFrame, keep: list[str], out: str = "spans") -> DataFrame:
+    """keep columns and `spans` (or another name, out): array of (kind, start, end, strict) by kind as in KINDS, then start.
 
     Null and empty texts have no spans; repeated rows get the same ones.
     """
@@ -200,7 +200,7 @@ def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     keep_it = lambda s: s["strict"] | s["features"].isin(accepted) if accepted else s["strict"]
     kept = F.filter("__spans", keep_it)
     by_kind = F.flatten(F.array(*[_of_kind(kept, k) for k in KINDS]))
-    return found.withColumn("spans", by_kind).drop("__spans")
+    return found.withColumn(out, by_kind).drop("__spans") if out != "__spans" else found.withColumn(out, by_kind)
 
 
 def _of_kind(spans, kind: str):
@@ -211,13 +211,13 @@ def _of_kind(spans, kind: str):
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its text replaced by its kind in brackets, n_chars recounted where there is one."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
-    found = find_spans(docs, docs.columns)
-    schema = found.drop("spans").schema
+    found = find_spans(docs, docs.columns, "__spans")
+    schema = found.drop("__spans").schema
 
     def run(frames):
         for pdf in frames:
             texts = []
-            for text, spans in zip(pdf["text"], pdf.pop("spans")):
+            for text, spans in zip(pdf["text"], pdf.pop("__spans")):
                 end = len(text) if text else 0
                 parts = []
                 for s in sorted(spans, key=lambda s: (-s["end"], s["start"])):

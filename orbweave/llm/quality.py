@@ -78,17 +78,17 @@ def text_statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep columns of docs and `stats`, one row for each row."""
+    """keep columns of docs and `__stats`, one row for each row."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
 
     def run(frames):
         for pdf in frames:
             text = pdf.pop("__text")
-            pdf["stats"] = [text_statistics(t) for t in text]
+            pdf["__stats"] = [text_statistics(t) for t in text]
             yield pdf
 
     kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = kept.drop("__text").withColumn("stats", F.array().cast("array<double>")).schema
+    schema = kept.drop("__text").withColumn("__stats", F.array().cast("array<double>")).schema
     return kept.mapInPandas(run, schema)
 
 
@@ -123,12 +123,12 @@ class QuadraticDiscriminant:
 
 
 def _moments(labelled: DataFrame) -> QuadraticDiscriminant:
-    """labelled: y (0 or 1) and stats. Sums per batch, added up by Spark; the driver gets two small matrices."""
+    """labelled: y (0 or 1) and __stats. Sums per batch, added up by Spark; the driver gets two small matrices."""
 
     def run(frames):
         for pdf in frames:
             for y, own in pdf.groupby("y"):
-                x = np.vstack(own["stats"].to_numpy())
+                x = np.vstack(own["__stats"].to_numpy())
                 cells = np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))
                 yield pd.DataFrame({"y": int(y), "cell": np.arange(len(cells)), "v": cells})
 
@@ -159,15 +159,15 @@ def _apply(stats: DataFrame, model: QuadraticDiscriminant, column: str, what: st
 
     def run(frames):
         for pdf in frames:
-            x = np.vstack(pdf.pop("stats").to_numpy()) if len(pdf) else np.zeros((0, FEATURES))
+            x = np.vstack(pdf.pop("__stats").to_numpy()) if len(pdf) else np.zeros((0, FEATURES))
             pdf[column] = getattr(shared.value, what)(x)
             yield pdf
 
-    return stats.mapInPandas(run, stats.drop("stats").withColumn(column, F.lit(0.0)).schema)
+    return stats.mapInPandas(run, stats.drop("__stats").withColumn(column, F.lit(0.0)).schema)
 
 
 def fit(labelled: DataFrame) -> QuadraticDiscriminant:
-    """Model of y (0 or 1) given stats. With one class or no rows it still gives defined scores."""
+    """Model of y (0 or 1) given __stats. With one class or no rows it still gives defined scores."""
     model = _moments(labelled)
     bins = (
         _apply(labelled, model, "d", "difference")
@@ -195,7 +195,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     stats = cut(with_statistics(docs, ["doc_id"]), "quality")
     known = labels.where(F.col("quality").isin(0, 1) & ~in_held_out()).select("doc_id", F.col("quality").cast("int").alias("y"))
-    model = fit(stats.join(known, "doc_id").select("y", "stats"))
+    model = fit(stats.join(known, "doc_id").select("y", "__stats"))
     return _apply(stats, model, "score", "score").select(
         "doc_id", in_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
@@ -205,7 +205,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
     stats = cut(with_statistics(docs, docs.columns), "quality")
     known = labels.where(F.col("quality").isin(0, 1) & ~in_held_out()).select("doc_id", F.col("quality").cast("int").alias("y"))
-    model = fit(stats.select("doc_id", "stats").join(known, "doc_id").select("y", "stats"))
+    model = fit(stats.select("doc_id", "__stats").join(known, "doc_id").select("y", "__stats"))
     return _apply(stats, model, "__score", "score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
 
 
