@@ -20,7 +20,7 @@ from orbweave.llm.common import cut, table
 #: Shares of the pooled covariance, and of its diagonal, in a class covariance.
 POOLED, DIAGONAL = 0.1, 0.1
 THRESHOLD = 0.3
-BATCH_DOCUMENTS = 2_000
+BATCH_DOCUMENTS = 500
 #: Width of the bins of log-density differences from which the logistic curve is fitted, and their range.
 BIN, RANGE = 0.5, 60.0
 
@@ -81,13 +81,15 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns of docs and `__stats`, one row for each row."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
 
+    column = "text" if "text" in keep else "__text"
+
     def run(frames):
         for pdf in frames:
-            text = pdf.pop("__text")
+            text = pdf[column] if column == "text" else pdf.pop(column)
             pdf["__stats"] = [text_statistics(t) for t in text]
             yield pdf
 
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").alias(column))
     schema = kept.drop("__text").withColumn("__stats", F.array().cast("array<double>")).schema
     return kept.mapInPandas(run, schema)
 
@@ -142,16 +144,29 @@ def _moments(labelled: DataFrame) -> QuadraticDiscriminant:
     )
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Coefficients of a slightly ridged logistic regression on weighted rows."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Coefficients of a slightly ridged logistic regression on weighted rows: Newton steps, halved until they help."""
+    scale = np.maximum(np.abs(x).max(0), 1e-12)
+    z, ridge = x / scale, 1e-4 * max(1.0, weight.sum())
+
+    def loss(w: np.ndarray) -> float:
+        t = z @ w
+        return float(weight @ (np.logaddexp(0, t) - y * t) + 0.5 * ridge * (w @ w) * 1e-2)
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - 1e-2 * w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        slope = z.T @ (weight * (p - y)) + ridge * 1e-2 * w
+        bend = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * 1e-2 * np.eye(len(w))
+        step, t = -np.linalg.solve(bend, slope), 1.0
+        while t > 1e-8 and loss(w + t * step) > now + 1e-4 * t * (slope @ step):
+            t /= 2
+        w, before = w + t * step, now
+        now = loss(w)
+        if before - now <= 1e-9 * (1 + abs(before)):
             break
-    return w
+    return w / scale
 
 
 def _apply(stats: DataFrame, model: QuadraticDiscriminant, column: str, what: str) -> DataFrame:
