@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orbweave.operators import candidates, catalogs, conflicts, grouped, schedules, sweeps, texts, trajectories
+from orbweave.operators import candidates, catalogs, conflicts, datasets, grouped, schedules, sweeps, texts, trajectories
 from orbweave.streaming import events
 
-MODULES = (candidates, conflicts, sweeps, schedules, trajectories, catalogs, texts, grouped, events)
+MODULES = (candidates, conflicts, sweeps, schedules, trajectories, catalogs, texts, datasets, grouped, events)
 
 
 def queries() -> dict:
