@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import cut, table
 from orbweave.llm.quality import fit_logistic
 
-BATCH_DOCUMENTS = 2_000
+BATCH_DOCUMENTS = 500
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 ACCEPT = 0.5
@@ -127,13 +127,15 @@ def with_candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns of docs and `spans`, an array of candidate spans; null texts have none."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
     names = [x.split()[0] for x in _SPAN.split(", ")]
+    column = "text" if "text" in keep else "__find"
 
     def run(frames):
         for pdf in frames:
-            pdf["__spans"] = [[dict(zip(names, c)) for c in candidates(t or "")] for t in pdf.pop("__find")]
+            text = pdf[column] if column == "text" else pdf.pop(column)
+            pdf["__spans"] = [[dict(zip(names, c)) for c in candidates(t or "")] for t in text]
             yield pdf
 
-    kept = docs.select(*keep, F.col("text").alias("__find"))
+    kept = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").alias(column))
     kind = f"array<struct<{', '.join(x.replace(' ', ':') for x in _SPAN.split(', '))}>>"
     return kept.mapInPandas(run, kept.drop("__find").withColumn("__spans", F.lit(None).cast(kind)).schema)
 

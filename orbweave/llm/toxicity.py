@@ -21,7 +21,7 @@ from orbweave.llm.common import cut, table
 from orbweave.llm.quality import fit_logistic, in_held_out
 
 THRESHOLD = 0.5
-BATCH_DOCUMENTS = 2_000
+BATCH_DOCUMENTS = 500
 #: Labelled training rows that are learnt from at most; above it a hash sample of that expected size.
 MAX_TRAINING_ROWS = 500_000
 #: Features kept at most, the most telling first.
@@ -202,7 +202,7 @@ def _evidence(docs: DataFrame, keep: list[str], model, weights) -> DataFrame:
                 for w in restored_words(text, model.value, known):
                     own = telling.get(w)
                     if own is None:
-                        if len(telling) > 2_000_000:
+                        if len(telling) > 300_000:
                             telling.clear()
                         own = telling[w] = max(get("=" + w, 0.0), *[get(w[:k], 0.0) for k in BEGINNINGS])
                     if own:
