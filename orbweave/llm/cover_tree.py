@@ -26,8 +26,10 @@ MAX_PIVOTS = 1_024
 POINTS_PER_PIVOT = 200
 BLOCK_POINTS = 3_000
 #: Radii of the levels inside a block, each half of that before.
-RADII = (1.0, 0.5, 0.25)
+RADII = (0.5, 0.25, 0.125)
 SLACK = 1e-9
+#: Nodes are compared in single precision with this much room; points in double precision without.
+ROUGH = 1e-5
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -35,40 +37,41 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(1))[:, None]
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
-
-
 def cover(points: np.ndarray, radius: float) -> np.ndarray:
     """Greedy net: for each point the number of its node, nodes being points over radius apart from earlier ones."""
     node, centres = np.full(len(points), -1), 0
     close = 1 - radius * radius / 2
     for i in range(len(points)):
         if node[i] < 0:
-            free = np.flatnonzero(node[i:] < 0) + i
-            near = free[points[free] @ points[i] >= close]
-            node[near] = centres
+            node[(points @ points[i] >= close) & (node < 0)] = centres
             node[i] = centres
             centres += 1
     return node
 
 
+def levels_of(points: np.ndarray) -> np.ndarray:
+    """Node number of each point on each level of RADII, nested: a row for each level."""
+    labels = [np.zeros(len(points), np.int32)]
+    for radius in RADII:
+        finer, at = np.empty(len(points), np.int32), 0
+        order = np.argsort(labels[-1], kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(labels[-1][order])) + 1):
+            node = cover(points[own], radius) if len(own) > 1 else np.zeros(1, np.int32)
+            finer[own] = node + at
+            at += node.max() + 1
+        labels.append(finer)
+    return np.array(labels[1:], np.int32)
+
+
 class Tree:
     """Levels of a block: groups of points, with centre (a member) and covering radius, the last level being points."""
 
-    def __init__(self, points: np.ndarray):
-        labels = [np.zeros(len(points), np.int64)]
-        for radius in RADII:
-            finer, at = np.empty(len(points), np.int64), 0
-            for group in np.unique(labels[-1]):
-                own = np.flatnonzero(labels[-1] == group)
-                node = cover(points[own], radius) if len(own) > 1 else np.zeros(1, np.int64)
-                finer[own] = node + at
-                at += node.max() + 1
-            labels.append(finer)
+    def __init__(self, points: np.ndarray, levels: np.ndarray):
+        labels = [np.zeros(len(points), np.int64), *levels.astype(np.int64)]
         #: Points in tree order, so that numbers grow alike on every level; place[k] is the given number of point k.
         self.place = np.argsort(labels[-1], kind="stable")
         self.points = points[self.place]
+        self.rough = self.points.astype(np.float32)
         self.levels: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
         ordered = [x[self.place] for x in labels] + [np.arange(len(points))]
         for upper, lower in zip(ordered, ordered[1:]):
@@ -97,9 +100,14 @@ def linked_pairs(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarra
         small = [(x, y) for x, y in wanted if len(x) * len(y) <= 64]
         for x, y in wanted:
             if len(x) * len(y) > 64:
-                near = np.argwhere(_distances(a.points[ca[x]], b.points[cb[y]]) <= ra[x][:, None] + rb[y][None, :] + reach)
-                left.append(x[near[:, 0]])
-                right.append(y[near[:, 1]])
+                # single points, most of the nodes where nothing is near, have radius 0 and one bound for all
+                for p, zero_p in ((x[ra[x] == 0], True), (x[ra[x] > 0], False)):
+                    for q, zero_q in ((y[rb[y] == 0], True), (y[rb[y] > 0], False)):
+                        if len(p) and len(q):
+                            far = reach if zero_p and zero_q else ra[p][:, None] + rb[q][None, :] + reach
+                            near = np.argwhere(a.rough[ca[p]] @ b.rough[cb[q]].T >= 1 - far * far / 2 - ROUGH)
+                            left.append(p[near[:, 0]])
+                            right.append(q[near[:, 1]])
         if small:
             x = np.concatenate([np.repeat(x, len(y)) for x, y in small])
             y = np.concatenate([np.tile(y, len(x)) for x, y in small])
@@ -207,25 +215,26 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         return pd.DataFrame(
             {
                 "block": pdf["block"][:1], "dim": pdf["dim"][:1], "keys": [b"".join(pdf["key"])], "body": [b"".join(pdf["body"])],
-                "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "centre": [centre.tolist()], "radius": [radius],
+                "levels": [levels_of(x).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "centre": [centre.tolist()], "radius": [radius],
             }
         )
 
     def meet(frames):
         trees: dict[int, Tree] = {}
 
-        def tree(block, dim, body):
+        def tree(block, dim, body, levels):
             if block not in trees:
                 if len(trees) >= 4:
                     trees.pop(next(iter(trees)))
-                trees[block] = Tree(unit(np.frombuffer(body, np.float64).reshape(-1, dim)))
+                points = unit(np.frombuffer(body, np.float64).reshape(-1, dim))
+                trees[block] = Tree(points, np.frombuffer(levels, np.int32).reshape(len(RADII), -1))
             return trees[block]
 
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 same = r.i == r.j
-                a = tree(r.i, r.dim, r.body_i)
-                b = a if same else tree(r.j, r.dim, r.body_j)
+                a = tree(r.i, r.dim, r.body_i, r.levels_i)
+                b = a if same else tree(r.j, r.dim, r.body_j, r.levels_j)
                 i, j = linked_pairs(a, b, cosine, same)
                 n = 0 if same else len(a.points)
                 keys = np.frombuffer(r.keys_i if same else r.keys_i + r.keys_j, "S1").reshape(-1, 16)
@@ -241,7 +250,7 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 
     if placed_blocks is not None:
         packed = placed_blocks.groupBy("block", "dim").applyInPandas(
-            pack, "block int, dim int, keys binary, body binary, copies binary, centre array<double>, radius double"
+            pack, "block int, dim int, keys binary, body binary, levels binary, copies binary, centre array<double>, radius double"
         )
         packed = cut(packed, "blocks")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
@@ -254,12 +263,12 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
             .where((F.col("dim") == F.col("dim_j")) & (gap <= F.col("radius") + F.col("radius_j") + float(np.sqrt(2 - 2 * cosine)) + SLACK))
             .select(F.col("block").alias("i"), F.col("block_j").alias("j"))
         )
-        bodies = packed.select("block", "dim", "keys", "body", "copies")
-        first = bodies.toDF("i", "dim", "keys_i", "body_i", "copies_i")
-        second = bodies.drop("dim").toDF("j", "keys_j", "body_j", "copies_j")
+        bodies = packed.select("block", "dim", "keys", "body", "levels", "copies")
+        first = bodies.toDF("i", "dim", "keys_i", "body_i", "levels_i", "copies_i")
+        second = bodies.drop("dim").toDF("j", "keys_j", "body_j", "levels_j", "copies_j")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * blocks)
         dealt = pairs.repartition(parts, "i", "j").join(first, "i").join(second, "j")
-        found = dealt.select("i", "j", "dim", "keys_i", "body_i", "copies_i", "keys_j", "body_j", "copies_j").mapInPandas(
+        found = dealt.select("i", "j", "dim", "keys_i", "body_i", "levels_i", "copies_i", "keys_j", "body_j", "levels_j", "copies_j").mapInPandas(
             meet, "key binary, links long, other binary"
         )
         found = cut(found, "links")
