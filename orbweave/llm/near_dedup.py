@@ -3,9 +3,9 @@
 Each document's set of 4-word shingles gives K MinHash samples. BANDS bands of ROWS samples make candidate buckets,
 and the samples are folded into an odd sketch: a bitmap of parities, so that the number of ones in the XOR of two
 sketches tells how many samples differ. Equal sets are one node from the start. Nodes of a bucket are not paired
-with all others: rounds pair neighbours in a random order of each (salted) bucket, keep each node's best partner by
-its sketch, confirm it on the full sets and join components; nodes that no round could join to their bucket's main
-component are then compared with every node of another component there, so no candidate link is lost.
+with all others: neighbours in random orders of each (salted) bucket meet, each node keeps its best partners by
+sketch, the full sets confirm them, and components are joined; nodes that are not in their bucket's main component
+then are compared with every node of another component there, so no candidate link is lost.
 """
 
 from __future__ import annotations
@@ -29,10 +29,14 @@ K = BANDS * ROWS
 SKETCH_BITS = 512
 #: Sketch estimates below this are not confirmed: over four standard deviations (0.033) under the threshold.
 ESTIMATE_FLOOR = 0.62
-ROUNDS = 3
+#: Random orders of the bucket members in which neighbours meet, and how many of its best partners a node keeps.
+ORDERS, PARTNERS = 3, 2
 #: Bucket members that meet in one sorted run of a round.
 RUN = 200
-BATCH_DOCUMENTS = 1_000
+#: Buckets up to this size are settled pair by pair, larger ones in blocks of up to BLOCK nodes that list no pairs.
+SMALL = 32
+BLOCK = 1_000
+BATCH_DOCUMENTS = 500
 #: Document ids that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -102,7 +106,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(frames):
         known: dict[str, int] = {}
         for pdf in frames:
-            if len(known) > 2_000_000:
+            if len(known) > 300_000:
                 known.clear()
             rows = []
             for text in pdf["text"]:
@@ -130,7 +134,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(frames):
         known: dict[str, int] = {}
         for pdf in frames:
-            if len(known) > 2_000_000:
+            if len(known) > 300_000:
                 known.clear()
             sets = [shingle_set(t, known) for t in pdf["text"]]
             yield pd.DataFrame({"key": [_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
@@ -164,6 +168,52 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary, ok boolean")
 
 
+def _links_in_blocks(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes outside their bucket's main component to nodes of other components.
+
+    split: band, n, key, root, main. Bucket members are dealt into blocks; each pair of blocks is one small task, which
+    compares full sets and returns the links that join components which it has not seen joined before.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = split.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    asks = rows.where("root <> main").select("band", F.col("block").alias("i"), F.col("other").alias("j"), "key", "root", F.lit(True).alias("asks"))
+    told = rows.select("band", F.col("other").alias("i"), F.col("block").alias("j"), "key", "root", F.lit(False).alias("asks"))
+    dealt = asks.union(told).join(sets, "key")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, joined = [], {}
+
+        def find(x):
+            while x in joined:
+                x = joined[x]
+            return x
+
+        told = pdf[~pdf["asks"]]
+        asking = pdf[pdf["asks"]]
+        if len(told) and len(asking):
+            flat = np.concatenate([np.frombuffer(x, np.uint64) for x in told["shingles"]])
+            vocabulary, coded = np.unique(flat, return_inverse=True)
+            sizes = np.array([len(x) // 8 for x in told["shingles"]])
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            keys, roots = told["key"].to_numpy(), told["root"].to_numpy()
+            for key, root, body in zip(asking["key"], asking["root"], asking["shingles"]):
+                own = np.frombuffer(body, np.uint64)
+                at = np.searchsorted(vocabulary, own)
+                at = at[at < len(vocabulary)]
+                mark = np.zeros(len(vocabulary), np.int64)
+                mark[at[np.isin(vocabulary[at], own)]] = 1
+                both = np.add.reduceat(mark[coded], starts)
+                near = np.flatnonzero(100 * both >= PERCENT * (sizes + len(own) - both))
+                for k in near:  # a spanning forest is enough: only links that join what this task has not joined yet
+                    x, y = find(root), find(roots[k])
+                    if x != y:
+                        joined[x] = y
+                        out.append((min(key, keys[k]), max(key, keys[k])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt.groupBy("band", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
@@ -194,28 +244,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
-    for r in range(ROUNDS):
+    pairs = None
+    for r in range(ORDERS):
         seeded = F.xxhash64(F.lit(r), "key")
         run = Window.partitionBy("band", F.pmod(F.xxhash64(F.lit(-1 - r), "key"), F.ceil(F.col("n") / RUN))).orderBy(seeded, "key")
-        placed = members.join(roots, F.col("key") == F.col("node"))
-        pairs = (
-            placed.select("key", "root", F.lag(F.struct("key", "root")).over(run).alias("p"))
-            .where("p.root <> root")
-            .select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b"))
-            .distinct()
-        )
-        scored = cut(_estimated(untested(pairs), odd), "pairs")
-        both = scored.select("a", "b", "est").union(scored.select("b", "a", "est"))
-        best = both.groupBy("a").agg(F.max(F.struct("est", "b")).alias("m"))
-        chosen = best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-        roots = settle(chosen)
-    placed = cut(members.select("band", "key").join(roots, F.col("key") == F.col("node")).select("band", "key", "root"), "placed")
+        met = members.select("key", F.lag("key").over(run).alias("p")).where("p IS NOT NULL")
+        met = met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
+        pairs = met if pairs is None else pairs.union(met)
+    scored = cut(_estimated(pairs.distinct(), odd), "pairs")
+    both = scored.select("a", "b", "est").union(scored.select("b", "a", "est"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))
+    chosen = both.withColumn("place", place).where(F.col("place") <= PARTNERS)
+    roots = settle(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    placed = cut(members.join(roots, F.col("key") == F.col("node")).select("band", "n", "key", "root"), "placed")
     parts = placed.groupBy("band", "root").agg(F.count("*").alias("m"))
     main = parts.groupBy("band").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    split = placed.join(main.select("band", "main"), "band")
-    rest = split.where("root <> main").select("band", F.col("key").alias("k"), F.col("root").alias("r"))
+    split = cut(placed.join(main.select("band", "main"), "band"), "split")
+    found = cut(_links_in_blocks(split.where(F.col("n") > SMALL), sets), "block-links")
+    tested = cut(tested.union(found.select("a", "b", F.lit(True))), "tested")
+    small = split.where(F.col("n") <= SMALL)
+    rest = small.where("root <> main").select("band", F.col("key").alias("k"), F.col("root").alias("r"))
     pairs = (
-        rest.join(split, "band")
+        rest.join(small, "band")  # at most SMALL rows for each row
         .where((F.col("r") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("k") < F.col("key"))))
         .select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b"))
         .distinct()
