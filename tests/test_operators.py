@@ -135,6 +135,29 @@ def test_selection_without_overlaps_is_feasible(spark):
         assert (own["start_s"].to_numpy()[1:] >= own["end_s"].cummax().to_numpy()[:-1]).all()
 
 
+def test_every_scenario_is_selected_as_by_the_loop(spark):
+    t = Scenarios(spark, "/root/testdata/sf0.001")
+    w = t.task_window.join(t.task, ["scenario_id", "task_id"]).toPandas()
+    want, busy, done = set(), {}, set()
+    for r in w.sort_values(["priority", "start_s", "window_id"], ascending=[False, True, True]).itertuples():
+        own = busy.setdefault((r.scenario_id, r.satellite_id), [])
+        if (r.scenario_id, r.task_id) not in done and all(r.end_s <= s or e <= r.start_s for s, e in own):
+            own.append((r.start_s, r.end_s))
+            done.add((r.scenario_id, r.task_id))
+            want.add(f"{r.scenario_id}/{r.window_id}")
+    query, sql = trajectories.QUERIES["conflict_free_selection"]
+    got = [r.id for r in query(spark, "/root/testdata/sf0.001").collect()]
+    assert sql is None and len(got) == len(want) and set(got) == want
+    assert {i.split("/")[0] for i in got} == set(w["scenario_id"]) and w["scenario_id"].nunique() == 7
+
+
+def test_rounds_run_until_nothing_is_open(spark):
+    items = spark.createDataFrame([(i, i) for i in range(130)], "id int, rank int")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(129)], "a int, b int")
+    got = trajectories.select_without_conflicts(items, chain)
+    assert sorted(r.id for r in got.collect()) == list(range(0, 130, 2))
+
+
 def test_quotas_give_the_remainder_to_the_first(spark):
     c = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     assert [r.quota for r in catalogs.balanced_quotas(c, "k", 8).orderBy("k").collect()] == [3, 3, 2]
