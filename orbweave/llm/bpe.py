@@ -6,8 +6,8 @@ owns their bucket; it encodes each distinct word once and answers every chunk th
 by chunk, where ids are put together in the order of positions. Messages are packed and compressed, one for each
 chunk and bucket, so what is shuffled is the positions and each chunk's distinct words, not every pre-token.
 
-A chunk's key is a hash of its content, and both passes over the documents cut the same chunks as long as the input
-is read in a stable order, as files are. Where it is not, the join of answers fails loudly and nothing is lost
+A chunk's key is a hash of its partition, its number there and its content, so equal chunks of repeated documents stay
+apart. Both passes over the documents cut the same chunks as long as the input is read in a stable order, as files are. Where it is not, the join of answers fails loudly and nothing is lost
 silently; give such inputs to common.cut() first.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,12 +101,14 @@ def _chunks(batches, split, n_ids: int):
     positions: list[np.ndarray] = []
     numbers: dict[str, int] = defaultdict(count().__next__)
     held = 0
+    partition, chunk_numbers = TaskContext.get().partitionId(), count()
 
     def done():
         ids = pa.Table.from_batches(rows).combine_chunks()
         words = [w.encode("utf-8", "surrogatepass") for w in numbers]
         where = np.concatenate(positions) if positions else np.empty(0, np.int32)
-        digest = xxhash.xxh3_64(where.tobytes())
+        digest = xxhash.xxh3_64(np.array([partition, next(chunk_numbers)], np.int64).tobytes())
+        digest.update(where.tobytes())
         digest.update(b"\0".join(words))
         digest.update(np.array(sizes, np.int64).tobytes())
         for c in ids.columns:
@@ -224,6 +227,7 @@ def encode(docs: DataFrame, id_columns: list[str], ranks: dict[bytes, int], patt
 
     asked = named.mapInArrow(words_out, _MESSAGE).repartition(buckets, "bucket").mapInArrow(answer, _MESSAGE)
     kept = named.mapInArrow(positions_out, _MESSAGE)
+    # kept comes first in the union, so that its partitions have the same numbers in both passes
     out = kept.union(asked).groupBy("chunk").applyInArrow(
         assemble, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in id_schema], "ids array<int>"])
     )

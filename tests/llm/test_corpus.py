@@ -58,6 +58,16 @@ def test_tokens_equal_the_library_and_decode_to_the_text(odd, empty):
     assert bpe.token_digests(empty).count() == 0
 
 
+def test_repeated_chunks_give_repeated_rows(spark, odd, tmp_path):
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = lambda df: sorted(map(repr, bpe.encode(df, ["doc_id", "text"], ranks, public_tokenizers.PATTERN).collect()))
+    odd.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert rows(docs.union(docs)) == sorted(2 * rows(docs))
+
+
 def test_pre_tokenizer_agrees_with_the_pattern():
     import public_tokenizers
     import regex
