@@ -170,6 +170,43 @@ def test_stateful_heuristics_are_feasible():
         assert not got["task_id"].duplicated().any() and len(got) == 2
 
 
+def test_stratified_states_equal_the_greedy_on_all_states(spark):
+    sf = "/root/testdata/sf0.001"
+    line = pd.read_parquet(f"{sf}/lineitem.parquet")
+    n = line.drop_duplicates(["l_orderkey", "l_partkey", "l_suppkey"]).groupby("l_orderkey").size()
+    returned = set(line[line["l_returnflag"] == "R"]["l_orderkey"])
+    pools = {}
+    for r in catalogs.states(Scenarios(spark, sf)).collect():
+        if n.get(r.state_id, 0) >= 2:
+            pools.setdefault(r.instance, []).append((n[r.state_id], r.state_hash, r.state_id, r.family, r.step // 10, "assign" if r.state_id in returned else "skip"))
+    want = set()
+    for instance, pool in pools.items():
+        rows = [(h, i, c, (f, p, k * 4 // len(pool), kind)) for k, (c, h, i, f, p, kind) in enumerate(sorted(pool))]
+        families = sorted({x[3] for x in pool})
+        goal = [{f: 20 // len(families) + (k < 20 % len(families)) for k, f in enumerate(families)}, dict.fromkeys(range(4), 5), dict.fromkeys(range(4), 5), {"assign": 20, "skip": 0}]
+        have, chosen = [dict.fromkeys(g, 0) for g in goal], []
+        for _ in range(20):
+            def score(row):
+                return sum(w * ((h[v] + 1 - g[v]) ** 2 - (h[v] - g[v]) ** 2) for w, h, g, v in zip((1, 1, 1, 0.75), have, goal, row[3])), row[0]
+
+            weak, short = sum(c < 4 for _, _, c, _ in chosen), sum(c < 5 for _, _, c, _ in chosen)
+            best = min((r for r in rows if r not in chosen and (r[2] >= 4 or weak < 10) and (r[2] >= 5 or short < 15)), key=score)
+            chosen.append(best)
+            for h, v in zip(have, best[3]):
+                h[v] += 1
+        want |= {(instance, r[1]) for r in chosen}
+    got = grouped.stratified_states(spark, sf).collect()
+    assert len(got) == 7 * 20 and {(r.instance, r.state_id) for r in got} == want
+
+
+def test_floors_hold_back_rows_without_the_flag():
+    pdf = pd.DataFrame({"state_hash": list("abcd"), "phase": [0, 0, 1, 1], "signal": [False, False, True, True]})
+    got = grouped.marginal_selection(pdf, 2, {"phase": {0: 2, 1: 0}}, {"signal": 1})
+    assert got["state_hash"].tolist() == ["a", "c"]
+    with pytest.raises(ValueError):
+        grouped.marginal_selection(pdf, 3, {"phase": {0: 2, 1: 1}}, {"signal": 3})
+
+
 SCENARIO = {
     "scenario_id": "one", "metadata": {"creation_time": "2025-01-01T00:00:00Z", "duration": 3600.0, "time_step": 1.0},
     "satellites": [{"id": "A", "maneuverability_type": "Non-Agile", "satellite_specs": {"max_power_W": 5.0}, "observation_capability": {"sensors": [{"sensor_id": "x", "data_rate_Mbps": 2.0}]}}],
