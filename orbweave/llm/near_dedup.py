@@ -1,6 +1,6 @@
 """Near-duplicates by MinHash bands and odd sketches, confirmed on full shingle sets.
 
-Each document's set of 4-word shingles gives K MinHash samples. BANDS bands of ROWS samples make candidate buckets,
+Each document's set of word shingles (of SHINGLE words unless the caller says otherwise) gives K MinHash samples. BANDS bands of ROWS samples make candidate buckets,
 and the samples are folded into an odd sketch: a bitmap of parities, so that the number of ones in the XOR of two
 sketches tells how many samples differ. Equal sets are one node from the start. Nodes of a bucket are not paired
 with all others: neighbours in random orders of each (salted) bucket meet, each node keeps its best partners by
@@ -100,8 +100,8 @@ def _key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (128-bit hash of the set, null when empty), bands and odd sketch of each row."""
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_key (MD5 of the text), n_shingles, key (128-bit hash of the set, null when empty), bands and odd sketch of each row."""
 
     def run(frames):
         known: dict[str, int] = {}
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 known.clear()
             rows = []
             for text in pdf["text"]:
-                s = shingle_set(text, known)
+                s = shingle_set(text, known, size)
                 if not len(s):
                     rows.append((0, None, None, None))
                     continue
@@ -119,13 +119,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows.append((len(s), _key(s), bands, odd_sketch(m).tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "key", "bands", "odd"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(1, "text_key", pdf["text_key"].to_numpy())
             yield out
 
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("array<long>").alias("bands"), F.lit(None).cast("binary").alias("odd")).schema
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    read = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
+    schema = read.select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("array<long>").alias("bands"), F.lit(None).cast("binary").alias("odd")).schema
+    return read.mapInPandas(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """key and shingles (bytes) of each wanted (key, doc_id), from the texts."""
     ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -136,7 +138,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for pdf in frames:
             if len(known) > 300_000:
                 known.clear()
-            sets = [shingle_set(t, known) for t in pdf["text"]]
+            sets = [shingle_set(t, known, size) for t in pdf["text"]]
             yield pd.DataFrame({"key": [_key(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     some = docs.select("doc_id", "text").where("text is not null").join(ids, F.expr("doc_id <=> wanted_id"), "left_semi")
@@ -214,15 +216,11 @@ def _links_in_blocks(split: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("band", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs.
-
-    Sets without words link with nothing: their component is themselves. Rows with equal sets are linked whatever
-    their ids; null ids never become a component's id unless the component has no other, and such a row counts as kept.
-    """
+def _placed(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text_key, root (null for sets without words), n_shingles, component_id and kept for each row of docs."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
-    sketched = cut(sketches(docs), "sketches")
+    sketched = cut(sketches(docs, size), "sketches")
     members = sketched.where("key is not null").select("bands", "key").select(F.explode("bands").alias("band"), "key").distinct()
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(crowded, "band"), "bands")
@@ -230,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = sketched.join(nodes, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("odd").alias("odd"))
     first = cut(first, "nodes")
     odd = first.select("key", "odd")
-    sets = cut(_sets(docs, first.select("key", "doc_id")), "sets")
+    sets = cut(_sets(docs, first.select("key", "doc_id"), size), "sets")
     roots = first.select(F.col("key").alias("node"), F.col("key").alias("root"))
     tested = None
 
@@ -274,20 +272,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = sketched.where("key is not null").select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left")
     ids = ids.select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     names = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1")
-    placed = sketched.select("doc_id", "n_shingles", "key").join(roots, F.col("key") == F.col("node"), "left")
+    placed = sketched.select("doc_id", "text_key", "n_shingles", "key").join(roots, F.col("key") == F.col("node"), "left")
     placed = placed.withColumn("root", F.coalesce("root", "key")).join(names, "root", "left")
     component = F.coalesce("component_id", "doc_id")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return placed.select("doc_id", "text_key", "root", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs, by shingles of size words.
+
+    Sets without words link with nothing: their component is themselves. Rows with equal sets are linked whatever
+    their ids; null ids never become a component's id unless the component has no other, and such a row counts as kept.
+    """
+    return _placed(docs, size).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near-duplicates: that with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.expr("doc_id <=> __kept"), "left_semi")
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """docs with exactly one row of each group of near-duplicates: of the smallest id; where rows share it, that of the
+    smallest hash of the text, and of equal texts the smallest row. Rows without words are no group and stay."""
+    placed = cut(_placed(docs, size), "placed-rows")
+    texts = placed.where("kept and root is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    one = texts.groupBy("root").agg(F.min(F.struct("text_key", "doc_id", "n")).alias("m")).select("m.*")
+    wordless = placed.where("root is null").select("text_key", "doc_id", F.lit(1).cast("long").alias("n")).distinct()
+    chosen = cut(one.union(wordless).select(F.col("text_key").alias("__text"), F.col("doc_id").alias("__doc"), F.col("n").alias("__n")), "chosen")
+    same = F.expr("doc_id <=> __doc AND md5(text) <=> __text")
+    single = docs.join(chosen.where("__n = 1"), same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = docs.join(chosen.where("__n > 1"), same, "left_semi").select("doc_id", F.md5("text").alias("__text"), F.struct(*columns).alias("__row"))
+    repeated = repeated.groupBy("doc_id", "__text").agg(F.min("__row").alias("__row"))
+    return single.unionByName(repeated.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 4)
 
 
 OP10_SQL = r"""

@@ -159,6 +159,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got["n_shingles"].tolist() and (got["kept"] == (got.index == got["component_id"])).all()
 
 
+def test_pipeline_keeps_one_row_by_five_words(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(7)
+    rows = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+        for changed in (0, 10, 4, 4):  # ten words: 0.82 by four-word shingles, 0.78 by five
+            copy = list(base)
+            for k in range(changed):
+                copy[20 + 40 * k] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(396)} for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = sorted(set(_components(len(rows), links)))
+    # a repeated row, another text of the same id and group, another text of the same id and no group, rows without words
+    rows += [rows[0], (0, rows[0][1] + " end"), (2, "a text of its own"), (90, ""), (90, ""), (None, None)]
+    got = pipeline.distinct_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    ids = [r.doc_id for r in got if r.text and r.text != "a text of its own"]
+    assert sorted(ids) == want and len(want) == 8
+    assert sum(r.text == "a text of its own" for r in got) == 1 and sum(not r.text for r in got) == 3
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     got = near_dedup.near_duplicates(odd).toPandas()
     assert len(got) == 9 and near_dedup.near_duplicates(empty).count() == 0
