@@ -4,9 +4,13 @@ A byte goes when a string of LENGTH bytes that covers it also starts somewhere e
 anchors (the rightmost smallest hash of each window of WINDOW grams), which any two equal strings of LENGTH bytes
 share inside. Phrases that occur once end sequences, as no repeated string spans them whole; the sequences of the
 others are suffix sorted by the difference-cover algorithm of suffix_array. Adjacent suffixes are compared by their
-first phrases: an anchor whose neighbours share too few is out. Then comes an exact check of what is left: all
-strings that begin in an anchor's stretch at once where the whole surroundings are equal, one by one elsewhere.
-Equal texts are one text with a multiplicity from the start.
+first phrases: an anchor whose neighbours share too few is out. The partial phrases at both ends of a string cannot
+be seen there, so an exact comparison of the strings follows: all those of an anchor's stretch at once, then blocks
+of those that are equally far from their anchor, then single ones, each time only where the coarser step left it
+open. Equal texts are one text with a multiplicity from the start.
+
+Equality is that of 128-bit hashes of the bytes (of texts and of strings), and phrases are told apart by 63 bits: two
+equal phrase names only let an anchor through to the exact comparison, never past it.
 """
 
 from __future__ import annotations
@@ -19,36 +23,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import cut, table
+from orbweave.llm.common import cut, drop_scratch, table
 from orbweave.llm.suffix_array import in_order, suffix_order, with_neighbours
 
 LENGTH = 400
 WINDOW = 192
 GRAM = 16
+#: Names up to which the suffix order must hold, and phrases by which neighbours in it are compared.
+ORDERED, COMPARED = 9, 3
+#: Strings that are equally far from their anchor, compared together: first in blocks of this width, then alone.
+WIDTHS = (16, 1)
 BATCH_DOCUMENTS = 500
 #: Numbers about texts (ids, anchors, spans) that may be broadcast to meet the texts; more are joined by a shuffle.
 BROADCAST_NUMBERS = 4_000_000
 
-_M = np.uint64(0x9E3779B97F4A7C15)
-_M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
-_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base, np.uint64))))
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Text:
-    """Anchors, stretches and substring hashes of one text's bytes."""
+    """Anchors and stretches of one text's bytes."""
 
     def __init__(self, raw: bytes):
         self.raw, self.n = raw, len(raw)
-        self.b = np.frombuffer(raw, np.uint8)
-        x = _BYTES[0][self.b]
+        x = _BYTES[np.frombuffer(raw, np.uint8)]
         with np.errstate(over="ignore"):
-            h, s, m = x, 1, _M
+            h, s, m = x, 1, _MULTIPLIER
             while s < GRAM:
                 h, s, m = h[:-s] * m + h[s:], s * 2, m * m
             v = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
@@ -68,20 +69,6 @@ class Text:
         #: Whole phrases that any string of the stretch spans from its anchor on, at least.
         self.depth = np.maximum(np.searchsorted(self.anchors, inner) - self.index, 1)
 
-    def _prepare(self) -> None:
-        with np.errstate(over="ignore"):
-            up = _powers(_M, self.n)
-            self._sums = [np.concatenate(([np.uint64(0)], np.cumsum(t[self.b] * up[: self.n]))) for t in _BYTES]
-            self._down = _powers(_M_INV, self.n)
-
-    def hashes(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        """64-bit hash of each raw[start:end]."""
-        if not hasattr(self, "_down"):
-            self._prepare()
-        with np.errstate(over="ignore"):
-            h = (self._sums[which][end] - self._sums[which][start]) * self._down[start]
-            return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (end - start).astype(np.uint64)
-
 
 def _key(raw: bytes) -> bytes:
     return xxhash.xxh3_128_digest(raw)
@@ -102,8 +89,9 @@ def _anchored(docs: DataFrame) -> DataFrame:
                 names = sizes = depths = np.empty(0, np.int64)
                 if len(raw) >= LENGTH:
                     t = Text(raw)
-                    ends = np.append(t.anchors[1:], t.n)
-                    names = np.maximum((t.hashes(t.anchors, ends) >> np.uint64(1)).view(np.int64), 1)  # above the end mark, 0
+                    cuts = [*t.anchors.tolist(), t.n]
+                    ends = np.array(cuts[1:], np.int64)
+                    names = np.array([(xxhash.xxh3_64_intdigest(raw[i:j]) >> 1) or 1 for i, j in zip(cuts, cuts[1:])], np.int64)  # above the end mark, 0
                     sizes = ends - t.anchors
                     depths = np.zeros(len(names), np.int64)
                     depths[t.index] = t.depth
@@ -118,12 +106,18 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame, numbers: str, run, schema: str) -> DataFrame:
-    """run(Text bytes, wanted row) over the texts of wanted (key, rep, ...); numbers: SQL for what a row holds."""
+def _with_texts(docs: DataFrame, wanted: DataFrame, numbers: str, run, schema: str, name: str) -> DataFrame:
+    """run(text bytes, wanted row) over the texts of wanted (key, rep, ...), as a table; numbers: SQL for what a row holds."""
     wanted = cut(wanted, "wanted")
-    small = (wanted.agg(F.sum(F.expr(f"2 + {numbers}"))).first()[0] or 0) <= BROADCAST_NUMBERS
+    rows, size = wanted.agg(F.count("*"), F.sum(F.expr(f"2 + {numbers}"))).first()
     keep = [c for c in wanted.columns if c != "rep"]
-    joined = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(wanted) if small else wanted, F.expr("doc_id <=> rep"))
+    docs = docs.select("doc_id", F.col("text").alias("__text"))
+    if (size or 0) <= BROADCAST_NUMBERS:
+        joined = docs.join(F.broadcast(wanted), F.expr("doc_id <=> rep"))
+    else:
+        if rows <= BROADCAST_NUMBERS:
+            docs = docs.join(F.broadcast(wanted.select("rep")), F.expr("doc_id <=> rep"), "left_semi")
+        joined = docs.join(wanted, F.expr("doc_id <=> rep"))
 
     def each(frames):
         names = [x.split()[0] for x in schema.split(", ")]
@@ -135,18 +129,44 @@ def _with_texts(docs: DataFrame, wanted: DataFrame, numbers: str, run, schema: s
                     out += run(raw, r)
             yield pd.DataFrame(out, columns=names)
 
-    return joined.select(F.col("__text").alias("text_"), *keep).mapInPandas(each, schema)
+    made = cut(joined.select(F.col("__text").alias("text_"), *keep).mapInPandas(each, schema), name, BATCH_DOCUMENTS)
+    drop_scratch(made.sparkSession, wanted)
+    return made
+
+
+def _piece(raw: bytes, at: int, low: int, high: int, near: int, far: int) -> tuple:
+    """Of the strings that start at low to high, near to far bytes before their anchor: hash of the bytes that any
+    string so far from its anchor has, and of all their bytes together."""
+    return at, low, high, xxhash.xxh3_64_intdigest(raw[at - near : at - far + LENGTH]) - (1 << 63), _key(raw[low : high + LENGTH])
+
+
+_PIECE = "tid long, weight int, at int, low int, high int, core long, whole binary"
+
+
+def _settled(pieces: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans (tid, low, high) of pieces that occur twice as a whole, and what is open still.
+
+    A piece whose core is nowhere else holds no repeated string. Where a core is shared by pieces that differ as a
+    whole, some of their strings may be equal: these pieces, one of each kind, are to be cut finer.
+    """
+    kinds = pieces.groupBy("core", "whole").agg(F.sum("weight").alias("times"), F.min(F.struct("tid", "at", "low", "high")).alias("one"))
+    kinds = cut(kinds, name)
+    twice = kinds.where("times > 1").select("core", "whole")
+    spans = cut(pieces.join(twice, ["core", "whole"], "left_semi").select("tid", "low", "high"), "settled")
+    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("lone")).where("kinds > 1 AND lone > 0")
+    rest = kinds.join(cores.select("core"), "core", "left_semi")
+    return spans, rest.select("one.*", F.least("times", F.lit(2)).cast("int").alias("weight"))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
-    Null and empty texts have no bytes. A row that occurs twice is repeated whole if it has LENGTH bytes. Rows with a
-    null id are judged like others.
+    Null and empty texts have no bytes and the digest of nothing. A row that occurs twice is repeated whole if it has
+    LENGTH bytes. Rows with a null id are judged like others, and repeated ids may have different texts. Other columns
+    are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
-    every = cut(_anchored(docs), "anchored")
+    every = cut(_anchored(docs), "anchored", BATCH_DOCUMENTS)
     texts = (
         every.where(F.col("n") >= LENGTH)
         .groupBy("key")
@@ -162,16 +182,16 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         .select("tid", "copies", "s", F.col("p.names").alias("name"), F.col("p.sizes").alias("size"), F.col("p.depths").alias("depth"))
     )
     common = phrase.groupBy("name").agg(F.sum(F.least("copies", F.lit(2))).alias("times")).where("times > 1").select("name")
-    shared = cut(phrase.join(common, "name").select("tid", "s", "name", "size", "depth"), "phrases")
     run = F.struct("tid", (F.col("s") - F.row_number().over(_by("tid", "s"))).alias("g"))
-    shared = shared.withColumn("run", run)
+    shared = phrase.join(common, "name").select("tid", "s", "name", "size", "depth").withColumn("run", run)
     shared = cut(shared.withColumn("pos", F.row_number().over(_by("run", "s")) - 1), "runs")
-    order = suffix_order(shared.select("run", "pos", "name", "size"), LENGTH)
+    order = suffix_order(shared.select("run", "pos", "name", "size"), LENGTH - WINDOW + 1, ORDERED)
     by = _by("run", "pos")
-    ahead = {f"{c}{k}": F.lead(c, k, 0).over(by) for c in ("name", "size") for k in (1, 2)}
+    ahead = {f"{c}{k}": F.lead(c, k, 0).over(by) for c in ("name",) for k in (1, 2)}
     looked = shared.withColumns(ahead).join(order, ["run", "pos"]).select("tid", "s", "depth", "name", "name1", "name2", "mid")
     # shared rows are in suffix order by mid, partition number included; write them so that neighbours are in reach
     looked = in_order(looked.withColumnRenamed("mid", "place"), ["place"], "ordered")
+    drop_scratch(spark, shared, order)
     near = with_neighbours(looked, ["name", "name1", "name2"])
 
     def same(side: str):
@@ -181,51 +201,41 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         three = two & (F.col(f"{side}.name2") == F.col("name2")) & (F.col("name2") != 0)
         return F.coalesce(one.cast("int") + two.cast("int") + three.cast("int"), F.lit(0))
 
-    alive = near.where((F.col("depth") > 0) & (F.greatest(same("prev"), same("next")) >= F.least("depth", F.lit(3)))).select("tid", "s")
+    alive = near.where((F.col("depth") > 0) & (F.greatest(same("prev"), same("next")) >= F.least("depth", F.lit(COMPARED)))).select("tid", "s")
     multiple = texts.where("copies > 1").select("tid", F.posexplode("depths").alias("s", "d")).where("d > 0").select("tid", "s")
     alive = alive.union(multiple).distinct()
-    wanted = alive.groupBy("tid").agg(F.collect_list("s").alias("at")).join(texts.select("tid", "key", "rep", "copies"), "tid").select("key", "rep", "tid", "copies", "at")
+    named = texts.select("tid", "key", "rep", F.least("copies", F.lit(2)).cast("int").alias("weight"))
+    wanted = alive.groupBy("tid").agg(F.collect_list("s").alias("at")).join(named, "tid").select("key", "rep", "tid", "weight", "at")
 
     def stretches(raw: bytes, r) -> list[tuple]:
         t = Text(raw)
         k = np.flatnonzero(np.isin(t.index, np.asarray(r.at)))
-        a, low, high = t.at[k], t.low[k], t.high[k]
-        core = t.hashes(a, a + LENGTH - WINDOW + 1)
-        shape = ((a - low) * 1_000 + (high - low)).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            whole = [(t.hashes(low, high + LENGTH, w) ^ (shape * _M)).view(np.int64).tolist() for w in (0, 1)]
-        return list(zip([r.tid] * len(k), [int(r.copies)] * len(k), low.tolist(), high.tolist(), core.view(np.int64).tolist(), *whole))
-
-    found = cut(
-        _with_texts(docs, wanted, "size(at)", stretches, "tid long, copies long, low int, high int, core long, whole long, check long"), "stretches"
-    )
-    twice = F.least("copies", F.lit(2))
-    cores = found.groupBy("core").agg(F.sum(twice).alias("times")).where("times > 1").select("core")
-    found = found.join(cores, "core")
-    classes = found.groupBy("core", "whole", "check").agg(
-        F.sum(twice).alias("times"), F.min(F.struct("tid", "low", "high")).alias("first")
-    )
-    classes = cut(classes, "classes")
-    settled = found.join(classes.where("times > 1").select("whole", "check"), ["whole", "check"], "left_semi").select("tid", "low", "high")
-    open_cores = classes.where("times = 1").select("core").distinct()
-    # what could not be settled whole, and one example of each settled class that it may repeat a part of
-    asked = classes.join(open_cores, "core", "left_semi").select("first.tid", "first.low", "first.high", (F.col("times") == 1).alias("open"))
-    asked = asked.groupBy("tid").agg(F.collect_list(F.struct("low", "high", "open")).alias("at"))
-    asked = asked.join(texts.select("tid", "key", "rep"), "tid").select("key", "rep", "tid", "at")
-
-    def strings(raw: bytes, r) -> list[tuple]:
-        t, out = Text(raw), []
-        for x in r.at:
-            i = np.arange(x["low"], x["high"] + 1)
-            one, two = (t.hashes(i, i + LENGTH, w).view(np.int64).tolist() for w in (0, 1))
-            out += list(zip([r.tid] * len(i), i.tolist(), one, two, [bool(x["open"])] * len(i)))
-        return out
-
-    single = _with_texts(docs, asked, "3 * size(at)", strings, "tid long, at int, one long, two long, open boolean")
-    single = cut(single, "strings")
-    repeated = single.groupBy("one", "two").agg(F.count("*").alias("times")).where("times > 1").select("one", "two")
-    parts = single.where("open").join(repeated, ["one", "two"], "left_semi").select("tid", F.col("at").alias("low"), F.col("at").alias("high"))
-    spans = settled.union(parts).select("tid", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
+        places = zip(t.at[k].tolist(), t.low[k].tolist(), t.high[k].tolist())
+        return [(r.tid, r.weight, *_piece(raw, a, low, high, 0, WINDOW - 1)) for a, low, high in places]
+
+    pieces = _with_texts(docs, wanted, "size(at)", stretches, _PIECE, "stretches")
+    drop_scratch(spark, looked)
+    spans, rest = _settled(pieces, "kinds")
+    for width in WIDTHS:
+        asked = rest.groupBy("tid").agg(F.collect_list(F.struct("at", "low", "high", "weight")).alias("parts"))
+        asked = asked.join(named.drop("weight"), "tid").select("key", "rep", "tid", "parts")
+
+        def blocks(raw: bytes, r, width=width) -> list[tuple]:
+            """Pieces of the strings whose distance to their anchor has the same quotient by width."""
+            out = []
+            for x in r.parts:
+                at, low, high = x["at"], x["low"], x["high"]
+                for near in range((at - high) // width * width, at - low + 1, width):
+                    far = near + width - 1
+                    out.append((r.tid, x["weight"], *_piece(raw, at, max(low, at - far), min(high, at - near), near, far)))
+            return out
+
+        finer = _with_texts(docs, asked, "4 * size(parts)", blocks, _PIECE, "pieces")
+        drop_scratch(spark, pieces)
+        pieces = finer
+        more, rest = _settled(pieces, "kinds")
+        spans = spans.union(more)
+    spans = spans.select("tid", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
     spans = merge(spans.join(texts.where("copies = 1").select("tid"), "tid", "left_semi"))
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cutting = spans.join(texts.select("tid", "key", "rep"), "tid").select("key", "rep", "spans")
@@ -239,7 +249,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         kept.update(raw[at:])
         return [(r.key, gone, len(r.spans), kept.hexdigest())]
 
-    partly = _with_texts(docs, cutting, "2 * size(spans)", remove, "key binary, n_removed long, n_spans long, kept string").dropDuplicates(["key"])
+    partly = _with_texts(docs, cutting, "2 * size(spans)", remove, "key binary, n_removed long, n_spans long, kept string", "cut").dropDuplicates(["key"])
     wholly = texts.where("copies > 1").select("key", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept"))
     verdict = partly.union(wholly)
     return every.select("doc_id", "key", "n", "sha").join(verdict, "key", "left").select(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orbweave.llm.common import cut
+from orbweave.llm.common import cut, drop_scratch
 
 _PART, _OFFSET = 33, (1 << 33) - 1
 
@@ -62,13 +62,15 @@ def with_neighbours(ordered: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def suffix_order(seq: DataFrame, need: int, depth: int = 0) -> DataFrame:
+def suffix_order(seq: DataFrame, need: int, names_needed: int, known: int = 3) -> DataFrame:
     """(run, pos, mid): mid ascends with the suffix of sequence `run` that starts at `pos`.
 
     seq: run (any groupable type), pos (0, 1, ... without gaps in a run), name (long, above 0), size (what it covers).
-    Suffixes that agree on `need` at least, or wholly, may stand in either order. Shorter suffixes come first. An
-    empty input gives an empty order.
+    Suffixes that agree wholly, or on what covers `need`, or on `names_needed` names at least may stand in either
+    order. Shorter suffixes come first. An empty input gives an empty order. known: names of the first call that a
+    triple of this one stands for.
     """
+    spark = seq.sparkSession
     by = Window.partitionBy("run").orderBy("pos")
     ahead = {"n1": F.lead("name", 1, 0).over(by), "n2": F.lead("name", 2, 0).over(by)}
     size = F.col("size") + F.lead("size", 1, 0).over(by) + F.lead("size", 2, 0).over(by)
@@ -76,21 +78,25 @@ def suffix_order(seq: DataFrame, need: int, depth: int = 0) -> DataFrame:
     sample = triples.where("pos % 3 <> 0")
     names = in_order(sample.groupBy("name", "n1", "n2").agg(F.count("*").alias("times"), F.max("bytes").alias("covers")), ["name", "n1", "n2"], "names")
     named = sample.join(names.select("name", "n1", "n2", F.col("mid").alias("rank")), ["name", "n1", "n2"])
-    if not names.where((F.col("times") > 1) & (F.col("covers") < need) & (F.col("n2") != 0)).isEmpty():
+    deeper = None
+    if known < names_needed and not names.where((F.col("times") > 1) & (F.col("covers") < need) & (F.col("n2") != 0)).isEmpty():
         shorter = named.select(
             F.struct("run", (F.col("pos") % 3).alias("residue")).alias("run"), F.floor(F.col("pos") / 3).cast("int").alias("pos"),
             (F.col("rank") + 1).alias("name"), F.col("bytes").alias("size"),
         )
-        deeper = suffix_order(shorter, need, depth + 1)
+        deeper = suffix_order(shorter, need, names_needed, 3 * known)
         ranks = deeper.select(F.col("run.run").alias("run"), (F.col("pos") * 3 + F.col("run.residue")).cast("int").alias("pos"), (F.col("mid") + 1).alias("rank"))
     else:
         ranks = named.select("run", "pos", (F.col("rank") + 1).alias("rank"))
     ranked = triples.join(ranks, ["run", "pos"], "left")
     ranked = cut(ranked.withColumns({"r1": F.lead("rank", 1, 0).over(by), "r2": F.lead("rank", 2, 0).over(by)}), "ranked")
+    drop_scratch(spark, triples, names, *([deeper] if deeper is not None else []))
     rest = F.col("pos") % 3 == 0
     first = in_order(ranked.where("pos % 3 <> 2").select("run", "pos", "name", "r1", "rank", rest.alias("rest")), ["name", "r1", "run", "pos"], "merge")
     second = in_order(ranked.where("pos % 3 <> 1").select("run", "pos", "name", "n1", "r2", "rank", rest.alias("rest")), ["name", "n1", "r2", "run", "pos"], "merge")
-    first = running_count(first, "rest", "k").select("run", "pos", "k", "rest", "rank")
-    second = running_count(second, "rest", "k").where("NOT rest").select("run", "pos", "k", "rest", "rank")
+    one = running_count(first, "rest", "k").select("run", "pos", "k", "rest", "rank")
+    two = running_count(second, "rest", "k").where("NOT rest").select("run", "pos", "k", "rest", "rank")
     # the k-th remaining suffix follows all sampled ones that have k remaining suffixes before them
-    return in_order(first.union(second), ["k", "rest", "rank", "run", "pos"], "suffixes").select("run", "pos", "mid")
+    order = in_order(one.union(two), ["k", "rest", "rank", "run", "pos"], "suffixes").select("run", "pos", "mid")
+    drop_scratch(spark, ranked, first, second)
+    return order
