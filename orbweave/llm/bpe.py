@@ -7,8 +7,9 @@ by chunk, where ids are put together in the order of positions. Messages are pac
 chunk and bucket, so what is shuffled is the positions and each chunk's distinct words, not every pre-token.
 
 A chunk's key is a hash of its partition, its number there and its content, so equal chunks of repeated documents stay
-apart. Both passes over the documents cut the same chunks as long as the input is read in a stable order, as files are. Where it is not, the join of answers fails loudly and nothing is lost
-silently; give such inputs to common.cut() first.
+apart. Both passes over the documents cut the same chunks as long as the input is read in a stable
+order, as files are. Where it is not, the join of answers fails loudly and nothing is lost silently; give such inputs
+to common.cut() first.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -27,9 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import table
+from orbweave.llm.common import cut, table
 
-CHUNK_BYTES = 24_000_000
+#: UTF-8 bytes of text in a chunk, but for its last document, which is never split.
+CHUNK_BYTES = 6_000_000
+#: Words whose ids a task remembers.
+KNOWN_WORDS = 200_000
 #: Documents handed to Python at once; long ones make large batches.
 BATCH_DOCUMENTS = 500
 # Characters for which the classes of `re` could differ from those of the pattern: such texts take the slower engine.
@@ -118,11 +123,12 @@ def _chunks(batches, split, n_ids: int):
     for batch in batches:
         names = batch.schema.names[:n_ids]
         start = 0
+        sizes_in = pc.fill_null(pc.binary_length(batch.column(n_ids)), 0).to_pylist()
         for i, text in enumerate(batch.column(n_ids)):
             found = split(text.as_py() or "")
             sizes.append(len(found))
             positions.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-            held += len(text.as_py() or "")
+            held += sizes_in[i]
             if held >= CHUNK_BYTES:
                 rows.append(batch.select(names).slice(start, i + 1 - start))
                 yield done()
@@ -161,11 +167,11 @@ def encode(docs: DataFrame, id_columns: list[str], ranks: dict[bytes, int], patt
     """Id columns of each row of docs with `ids`, the token ids of its whole text (array<int>).
 
     Each match of the pattern is encoded alone, without special tokens. Null and empty texts have no ids. Repeated
-    rows give repeated rows; ids may be null. Columns other than id_columns and text are not read. Id columns may
-    be named chunk, bucket or body.
+    rows give repeated rows, and rows of one id with different texts stay apart; ids may be null. A text is never
+    split, however long. Columns other than id_columns and text are not read. Id columns may be named chunk, bucket or
+    body. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary file, of fixed size
     n_ids = len(id_columns)
     named = docs.select(*[F.col(f"`{c}`").alias(f"id{i}") for i, c in enumerate(id_columns)], F.col(f"`{text}`").alias("text"))
@@ -200,6 +206,8 @@ def encode(docs: DataFrame, id_columns: list[str], ranks: dict[bytes, int], patt
                 found = []
                 for w in _unpack_words(row["body"]):
                     if w not in known:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         known[w] = coder.encode_ordinary(w.decode("utf-8", "surrogatepass"))
                     found.append(known[w])
                 sizes = np.fromiter(map(len, found), np.int32, len(found))
@@ -240,7 +248,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
     An id that the table lacks is an error.
     """
     spark = encoded.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         tokens[i] = token
@@ -268,18 +275,23 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
 
 
 def token_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document's ids and of what they decode to."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's ids and of what they decode to, as a table.
+
+    Null and empty texts have no ids and the digests of nothing; nulls, repeats and clashes as in encode().
+    """
     import public_tokenizers
 
     ranks = read_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = encode(docs, ["doc_id"], ranks, public_tokenizers.PATTERN)
-    return decode(encoded, ranks).select(
+    digests = decode(encoded, ranks).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return cut(digests, "tokens", BATCH_DOCUMENTS)
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token digests of all `documents`: see token_digests for nulls, empty and long texts, repeats and empty tables."""
     return token_digests(table(spark, sf_dir, "documents"))

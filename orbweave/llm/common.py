@@ -48,13 +48,14 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def cut(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, batch_rows: int | None = None, more: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and lost executors lose nothing.
 
     Shuffle files of the job go when the table stands. batch_rows: rows handed to Python at once, BATCH_BYTES at most.
+    more: settings for this job alone.
     """
     path = scratch_path(df.sparkSession, name)
-    values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (more or {})
     if batch_rows:
         values |= {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
     with settings(df.sparkSession, values):

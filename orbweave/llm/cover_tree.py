@@ -25,6 +25,8 @@ from orbweave.llm.components import components
 MAX_PIVOTS = 1_024
 POINTS_PER_PIVOT = 200
 BLOCK_POINTS = 3_000
+#: Vectors handed to Python at once.
+BATCH_VECTORS = 1_000
 #: Radii of the levels inside a block, each half of that before.
 RADII = (0.5, 0.25, 0.125)
 SLACK = 1e-9
@@ -165,10 +167,9 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     has another id.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.mapInPandas(lambda it: map(_usable, it), "vec_id long, key binary, dim int, body binary")
-    rows = cut(rows, "vectors")
+    rows = cut(rows, "vectors", BATCH_VECTORS)
     points = rows.where("key is not null").groupBy("key", "dim").agg(F.any_value("body").alias("body"), F.count("*").alias("copies"))
     points = cut(points, "points")
     per_dim = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -190,7 +191,7 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
             pdf["cell"] = cell
             yield pdf
 
-    placed = cut(points.mapInPandas(assign, "key binary, dim int, body binary, copies long, cell long"), "cells")
+    placed = cut(points.mapInPandas(assign, "key binary, dim int, body binary, copies long, cell long"), "cells", BATCH_VECTORS)
     blocks, plan, held, last = 0, [], 0, None
     for r in placed.groupBy("dim", "cell").agg(F.count("*").alias("n")).orderBy("dim", "cell").collect():  # MAX_PIVOTS a dim
         parts = -(-r["n"] // BLOCK_POINTS)
@@ -253,7 +254,6 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
             pack, "block int, dim int, keys binary, body binary, levels binary, copies binary, centre array<double>, radius double"
         )
         packed = cut(packed, "blocks")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
         outline = packed.select("block", "dim", "centre", "radius")
         far = outline.select(*[F.col(c).alias(f"{c}_j") for c in outline.columns])
         gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre_j", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -271,10 +271,9 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         found = dealt.select("i", "j", "dim", "keys_i", "body_i", "levels_i", "copies_i", "keys_j", "body_j", "levels_j", "copies_j").mapInPandas(
             meet, "key binary, links long, other binary"
         )
-        found = cut(found, "links")
+        found = cut(found, "links", 8)
     else:
         found = spark.createDataFrame([], "key binary, links long, other binary")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("key").alias("u"), F.col("other").alias("v")))
     summary = (
@@ -297,6 +296,7 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 
 
 def op3_cover_tree_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all `embeddings`: see cosine_links for nulls, repeats and empty tables; other columns are not read."""
     return cosine_links(table(spark, sf_dir, "embeddings"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import ascii_lower, cut, table
+from orbweave.llm.common import ascii_lower, cut, drop_scratch, table
 
 #: Every character outside the word class, for texts whose ASCII letters are of one case or not.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,6 +52,10 @@ def _gram_hashes(hashes: Column, length: int) -> Column:
     return F.transform(_upto(F.size(hashes) - k), lambda i: F.xxhash64(F.lit(length), *[F.get(hashes, i + j) for j in range(k)]))
 
 
+def _gram_hashes_of(text: Column, length: int) -> Column:
+    return let(word_hashes(text), lambda hashes: _gram_hashes(hashes, length))
+
+
 def _winnowed(grams: Column, length: int) -> Column:
     w = _shape(length)[1]
     if w == 1:
@@ -74,18 +78,6 @@ def fingerprints(text: Column, lengths: list[int]) -> Column:
     return let(word_hashes(text), lambda hashes: F.concat(*[kept(hashes, m) for m in lengths]))
 
 
-def _starts(text: Column, fps: Column, length: int) -> Column:
-    """Where a window around a hit may start."""
-    w = _shape(length)[1]
-
-    def near(g: Column) -> Column:
-        hits = F.filter(_upto(F.size(g) - 1), lambda i: F.array_contains(fps, F.get(g, i)))
-        around = F.flatten(F.transform(hits, lambda p: F.sequence(F.greatest(p - (w - 1), F.lit(0)), p)))
-        return F.filter(F.array_distinct(around), lambda s: s < F.size(g) - (w - 1))
-
-    return let(word_hashes(text), lambda wh: let(_gram_hashes(wh, length), near))
-
-
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, text, words, length) per item with words, length being that of its windows."""
     return (
@@ -96,16 +88,16 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per distinct text with a benchmark window: text_key (MD5), n_hit, n_items, item_ids (sorted strings).
+    """Per distinct text with a benchmark window: text_key (MD5), n_hit, n_items, item_ids (sorted strings), as a table.
 
     documents needs `text`; benchmark needs `item_id` and `text`. Null and empty texts have no words. Items without
     an id count as items, but do not appear in item_ids. Repeated items and documents give the same rows once.
     """
+    spark = documents.sparkSession
     items = benchmark_windows(benchmark)
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # 1 to WINDOW at most
-    empty = documents.sparkSession.createDataFrame([], "text_key string, n_hit long, n_items long, item_ids array<string>")
     if not lengths:
-        return empty
+        return spark.createDataFrame([], "text_key string, n_hit long, n_items long, item_ids array<string>")
     kept = None
     for m in lengths:
         part = items.where(F.col("length") == m).select(F.explode(fingerprints(F.col("text"), [m])).alias("fp"))
@@ -115,29 +107,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         kept = F.broadcast(kept)
 
     texts = documents.select(F.col("text").alias("t"), F.md5(F.col("text").cast("binary")).alias("text_key")).where(F.length("t") > 0)
-    hits = (
-        texts.select("text_key", F.explode(fingerprints(F.col("t"), lengths)).alias("fp"))
-        .join(kept, "fp", "left_semi")
-        .groupBy("text_key")
-        .agg(F.collect_set("fp").alias("fps"))  # no more than a text has words
-    )
-    hits = cut(hits, "hits")
-    if (hits.agg(F.sum(F.size("fps") + 4)).first()[0] or 0) <= BROADCAST_ROWS:
+    hits = texts.select("text_key", F.explode(fingerprints(F.col("t"), lengths)).alias("fp")).join(kept, "fp", "left_semi")
+    hits = cut(hits.select("text_key").distinct(), "hits")
+    if hits.count() <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
-    found = texts.join(hits, "text_key").groupBy("text_key").agg(F.any_value("t").alias("t"), F.any_value("fps").alias("fps"))
+    # copies of a text are one row as soon as each task has read its part
+    found = cut(texts.join(hits, "text_key", "left_semi").groupBy("text_key").agg(F.any_value("t").alias("t")), "hit-texts")
     windows = None
     for m in lengths:
+        w = _shape(m)[1]
+        grams = found.select("text_key", _gram_hashes_of(F.col("t"), m).alias("g")).select("text_key", F.size("g").alias("n"), F.posexplode("g").alias("p", "fp"))
+        near = grams.join(kept, "fp", "left_semi").select("text_key", "n", F.explode(F.sequence(F.greatest(F.col("p") - (w - 1), F.lit(0)), "p")).alias("s"))
+        starts = near.where(F.col("s") < F.col("n") - (w - 1)).groupBy("text_key").agg(F.collect_set("s").alias("starts"))  # no more than a text has words
         window = let(
             words_of(F.col("t")),
             lambda words: F.transform(
                 "starts", lambda s: F.struct(s.alias("at"), F.concat_ws(" ", F.slice(words, s + 1, m)).alias("window"))
             ),
         )
-        part = (
-            found.withColumn("starts", _starts(F.col("t"), F.col("fps"), m))
-            .where(F.size("starts") > 0)
-            .select("text_key", F.lit(m).alias("length"), F.explode(window).alias("x"))
-        )
+        part = found.join(starts, "text_key").select("text_key", F.lit(m).alias("length"), F.explode(window).alias("x"))
         windows = part if windows is None else windows.union(part)
     wanted = items.select(
         "item_id",
@@ -147,6 +135,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         ).alias("window"),
     ).distinct()
     matched = windows.select("text_key", "length", "x.at", "x.window").join(wanted, ["length", "window"])
+    matched = cut(matched.select("text_key", "length", "at", "item_id").distinct(), "matched")
     covered = (
         matched.select("text_key", "at", "length")
         .distinct()
@@ -161,19 +150,33 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("text_key")
         .agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
     )
-    return covered.join(per_item, "text_key")
+    out = cut(covered.join(per_item, "text_key"), "contaminated")
+    drop_scratch(spark, found, matched)
+    return out
+
+
+def _small(found: DataFrame) -> DataFrame:
+    """found to be broadcast where its ids are few; otherwise it is joined by a shuffle, whose hot keys Spark splits."""
+    size = found.agg(F.sum(F.size("item_ids") + 4)).first()[0] or 0
+    return F.broadcast(found) if size <= BROADCAST_ROWS else found
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without those that hold a benchmark window."""
-    hit = contamination(documents, benchmark).select(F.col("text_key").alias("__key"))
+    """documents without those that hold a benchmark window.
+
+    Null and empty texts stay, repeated rows stay or go together, and columns of any name come back, since a row
+    travels as one struct. No items remove nothing.
+    """
+    hit = _small(contamination(documents, benchmark)).select("text_key")
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    return documents.withColumn("__key", key).join(hit, "__key", "left_anti").select(*documents.columns)
+    rows = documents.select(key.alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return rows.join(hit, "text_key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def op8_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all `documents`: a null text has no words; the rest as in contamination()."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = contamination(docs, bench)
+    found = _small(contamination(docs, bench))
     return (
         docs.select(
             "doc_id",

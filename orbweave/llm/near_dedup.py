@@ -1,8 +1,8 @@
 """Near-duplicates by MinHash bands and odd sketches, confirmed on full shingle sets.
 
-Each document's set of word shingles (of SHINGLE words unless the caller says otherwise) gives K MinHash samples. BANDS bands of ROWS samples make candidate buckets,
-and the samples are folded into an odd sketch: a bitmap of parities, so that the number of ones in the XOR of two
-sketches tells how many samples differ. Equal sets are one node from the start. Nodes of a bucket are not paired
+Each document's set of word shingles (of SHINGLE words unless the caller says otherwise) gives K MinHash samples.
+BANDS bands of ROWS samples make candidate buckets, and the samples are folded into an odd sketch: a bitmap of
+parities, so that the number of ones in the XOR of two sketches tells how many samples differ. Equal sets are one node from the start. Nodes of a bucket are not paired
 with all others: neighbours in random orders of each (salted) bucket meet, each node keeps its best partners by
 sketch, the full sets confirm them, and components are joined; nodes that are not in their bucket's main component
 then are compared with every node of another component there, so no candidate link is lost.
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import LOWER, UPPER, cut, table
+from orbweave.llm.common import LOWER, UPPER, cut, drop_scratch, table
 from orbweave.llm.components import components
 
 SHINGLE = 4
@@ -27,8 +27,9 @@ PERCENT = 80
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 SKETCH_BITS = 512
-#: Sketch estimates below this are not confirmed: over four standard deviations (0.033) under the threshold.
-ESTIMATE_FLOOR = 0.62
+#: Sketch estimates below this are not confirmed. A pair of similarity 0.8 falls there with a probability of about
+#: 1e-8 (82 or fewer of 150 samples agree: 5e-11; the rest is the sketch's own error), far below what the bands miss.
+ESTIMATE_FLOOR = 0.55
 #: Random orders of the bucket members in which neighbours meet, and how many of its best partners a node keeps.
 ORDERS, PARTNERS = 3, 2
 #: Bucket members that meet in one sorted run of a round.
@@ -37,6 +38,8 @@ RUN = 200
 SMALL = 32
 BLOCK = 1_000
 BATCH_DOCUMENTS = 500
+#: Pairs of full sets handed to Python at once.
+BATCH_PAIRS = 500
 #: Document ids that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -177,9 +180,13 @@ def _links_in_blocks(split: DataFrame, sets: DataFrame) -> DataFrame:
     compares full sets and returns the links that join components which it has not seen joined before.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = split.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    asks = rows.where("root <> main").select("band", F.col("block").alias("i"), F.col("other").alias("j"), "key", "root", F.lit(True).alias("asks"))
-    told = rows.select("band", F.col("other").alias("i"), F.col("block").alias("j"), "key", "root", F.lit(False).alias("asks"))
+    rows = split.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    asking = rows.where("root <> main")
+    asks = asking.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    asks = asks.select("band", F.col("block").alias("i"), F.col("other").alias("j"), "key", "root", F.lit(True).alias("asks"))
+    # members go only to blocks in which somebody asks
+    heard = cut(asking.select("band", F.col("block").alias("i")).distinct(), "asking")
+    told = rows.join(heard, "band").select("band", "i", F.col("block").alias("j"), "key", "root", F.lit(False).alias("asks"))
     dealt = asks.union(told).join(sets, "key")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,23 +226,25 @@ def _links_in_blocks(split: DataFrame, sets: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, text_key, root (null for sets without words), n_shingles, component_id and kept for each row of docs."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
-    sketched = cut(sketches(docs, size), "sketches")
-    members = sketched.where("key is not null").select("bands", "key").select(F.explode("bands").alias("band"), "key").distinct()
+    sketched = cut(sketches(docs, size), "sketches", BATCH_DOCUMENTS)
+    # equal sets are one row before anything is dealt by their key
+    each = sketched.where("key is not null").groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("odd").alias("odd")
+    )
+    each = cut(each, "sets")
+    members = each.select(F.explode("bands").alias("band"), "key").distinct()
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(crowded, "band"), "bands")
-    nodes = members.select("key").distinct()
-    first = sketched.join(nodes, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("odd").alias("odd"))
-    first = cut(first, "nodes")
+    first = cut(each.join(members.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "odd"), "nodes")
     odd = first.select("key", "odd")
-    sets = cut(_sets(docs, first.select("key", "doc_id"), size), "sets")
+    sets = cut(_sets(docs, first.select("key", "doc_id"), size), "sets", BATCH_DOCUMENTS)
     roots = first.select(F.col("key").alias("node"), F.col("key").alias("root"))
     tested = None
 
     def settle(pairs: DataFrame) -> DataFrame:
         nonlocal tested
         new = _confirmed(pairs, sets)
-        tested = cut(new if tested is None else tested.union(new), "tested")
+        tested = cut(new if tested is None else tested.union(new), "tested", BATCH_PAIRS)
         found = components(tested.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
         return cut(first.select(F.col("key").alias("node")).join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
 
@@ -249,7 +258,7 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
         met = members.select("key", F.lag("key").over(run).alias("p")).where("p IS NOT NULL")
         met = met.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
         pairs = met if pairs is None else pairs.union(met)
-    scored = cut(_estimated(pairs.distinct(), odd), "pairs")
+    scored = cut(_estimated(pairs.distinct(), odd), "pairs", 20 * BATCH_PAIRS)
     both = scored.select("a", "b", "est").union(scored.select("b", "a", "est"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))
     chosen = both.withColumn("place", place).where(F.col("place") <= PARTNERS)
@@ -269,13 +278,18 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
         .distinct()
     )
     roots = settle(_estimated(untested(pairs), odd))
-    ids = sketched.where("key is not null").select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left")
-    ids = ids.select("doc_id", "key", F.coalesce("root", "key").alias("root"))
-    names = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1")
-    placed = sketched.select("doc_id", "text_key", "n_shingles", "key").join(roots, F.col("key") == F.col("node"), "left")
-    placed = placed.withColumn("root", F.coalesce("root", "key")).join(names, "root", "left")
+    owned = each.select("key", "doc_id", "copies").join(roots, F.col("key") == F.col("node"), "left")
+    owned = owned.select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root"))
+    names = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1").drop("size")
+    # a table, so that the last join can split the rows of a very frequent set
+    named = cut(owned.select("key", "root").join(names, "root", "left"), "components")
+    drop_scratch(spark, members, first, sets, scored, placed, split, found, tested)
+    out = sketched.select("doc_id", "text_key", "n_shingles", "key").join(named, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return placed.select("doc_id", "text_key", "root", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select(
+        "doc_id", "text_key", "root", "n_shingles", component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+    )
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -294,16 +308,24 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     texts = placed.where("kept and root is not null").groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
     one = texts.groupBy("root").agg(F.min(F.struct("text_key", "doc_id", "n")).alias("m")).select("m.*")
     wordless = placed.where("root is null").select("text_key", "doc_id", F.lit(1).cast("long").alias("n")).distinct()
-    chosen = cut(one.union(wordless).select(F.col("text_key").alias("__text"), F.col("doc_id").alias("__doc"), F.col("n").alias("__n")), "chosen")
-    same = F.expr("doc_id <=> __doc AND md5(text) <=> __text")
-    single = docs.join(chosen.where("__n = 1"), same, "left_semi")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = docs.join(chosen.where("__n > 1"), same, "left_semi").select("doc_id", F.md5("text").alias("__text"), F.struct(*columns).alias("__row"))
-    repeated = repeated.groupBy("doc_id", "__text").agg(F.min("__row").alias("__row"))
-    return single.unionByName(repeated.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
+    chosen = cut(one.union(wordless).select("text_key", "doc_id", "n"), "chosen")
+    drop_scratch(docs.sparkSession, placed)
+    # the row travels as one struct, so that none of its columns can clash with ours
+    rows = docs.select(F.md5("text").alias("text_key"), F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(F.col("text_key").alias("own_key"), F.col("doc_id").alias("own_id"))
+        return rows.join(wanted, F.expr("doc_id <=> own_id AND text_key <=> own_key"), "left_semi")
+
+    repeated = of(chosen.where("n > 1")).groupBy("doc_id", "text_key").agg(F.min("row").alias("row")).select("row")
+    return of(chosen.where("n = 1")).select("row").union(repeated).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of `documents` by four-word shingles: see near_duplicates for nulls, empty texts, repeated ids and ties.
+
+    Long texts take part whole; other columns are not read; an empty table gives no rows.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), 4)
 
 

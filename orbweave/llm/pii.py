@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import cut, table
+from orbweave.llm.common import cut, drop_scratch, table
 from orbweave.llm.quality import fit_logistic
 
 BATCH_DOCUMENTS = 500
@@ -125,7 +125,6 @@ _SPAN = "kind string, start long, end long, strict boolean, votes string, featur
 
 def with_candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns of docs and `spans`, an array of candidate spans; null texts have none."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
     names = [x.split()[0] for x in _SPAN.split(", ")]
     column = "text" if "text" in keep else "__find"
 
@@ -194,9 +193,10 @@ def span_classifier(found: DataFrame) -> dict[str, float]:
 def find_spans(docs: DataFrame, keep: list[str], out: str = "spans") -> DataFrame:
     """keep columns and `spans` (or another name, out): array of (kind, start, end, strict) by kind as in KINDS, then start.
 
-    Null and empty texts have no spans; repeated rows get the same ones.
+    Null and empty texts have no spans; repeated rows get the same ones, long texts are searched whole. Columns may
+    have any name but that of the result and __spans or __find. An empty table gives no rows.
     """
-    found = cut(with_candidates(docs, keep), "pii")
+    found = cut(with_candidates(docs, keep), "pii", BATCH_DOCUMENTS)
     chance = span_classifier(found)
     accepted = [code for code, p in chance.items() if p >= ACCEPT]
     keep_it = lambda s: s["strict"] | s["features"].isin(accepted) if accepted else s["strict"]
@@ -211,32 +211,38 @@ def _of_kind(spans, kind: str):
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of its text replaced by its kind in brackets, n_chars recounted where there is one."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
-    found = find_spans(docs, docs.columns, "__spans")
-    schema = found.drop("__spans").schema
+    """docs with each span of its text replaced by its kind in brackets, n_chars recounted where there is one, as a table.
 
-    def run(frames):
-        for pdf in frames:
-            texts = []
-            for text, spans in zip(pdf["text"], pdf.pop("__spans")):
-                end = len(text) if text else 0
-                parts = []
-                for s in sorted(spans, key=lambda s: (-s["end"], s["start"])):
-                    if s["end"] <= end:
-                        parts += [text[s["end"] : end], f"[{s['kind'].upper()}]"]
-                        end = s["start"]
-                    elif s["start"] < end:  # overlaps the span after it: hide its rest too
-                        end = s["start"]
-                texts.append(None if text is None else "".join(reversed([*parts, text[:end]])))
-            pdf["text"] = texts
-            yield pdf
-
-    out = found.mapInPandas(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    Null texts stay null; repeated rows stay; a row travels as one struct, so columns of any name come back.
+    """
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = find_spans(rows, ["text", "row"], "spans")
+
+    @F.pandas_udf("string")
+    def replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, own in zip(text, spans):
+            end, parts = len(t) if t else 0, []
+            for s in sorted(own, key=lambda s: (-s["end"], s["start"])):
+                if s["end"] <= end:
+                    parts += [t[s["end"] : end], f"[{s['kind'].upper()}]"]
+                    end = s["start"]
+                elif s["start"] < end:  # overlaps the span after it: hide its rest too
+                    end = s["start"]
+            out.append(None if t is None else "".join(reversed([*parts, t[:end]])))
+        return pd.Series(out, dtype="object")
+
+    new = F.when(F.size("spans") > 0, replaced("text", "spans")).otherwise(F.col("text"))
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("__new")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.size("spans") > 0, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    out = cut(found.withColumn("__new", new).select(*[own[c].alias(c) for c in docs.columns]), "redacted", BATCH_DOCUMENTS)
+    drop_scratch(docs.sparkSession, found)
+    return out
 
 
 def op9_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all `documents`; n_secret counts those that the method adds. Nulls and the like as in find_spans."""
     found = find_spans(table(spark, sf_dir, "documents"), ["doc_id"])
 
     def joined(spans):
@@ -248,6 +254,8 @@ def op9_weakly_supervised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_secret"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import cut, table
+from orbweave.llm.common import cut, drop_scratch, table
 
 #: Shares of the pooled covariance, and of its diagonal, in a class covariance.
 POOLED, DIAGONAL = 0.1, 0.1
 THRESHOLD = 0.3
 BATCH_DOCUMENTS = 500
+#: Ids of labelled rows that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Width of the bins of log-density differences from which the logistic curve is fitted, and their range.
 BIN, RANGE = 0.5, 60.0
 
@@ -79,8 +81,6 @@ def text_statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns of docs and `__stats`, one row for each row."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
-
     column = "text" if "text" in keep else "__text"
 
     def run(frames):
@@ -206,9 +206,11 @@ def in_held_out(doc_id="doc_id"):
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; labels.quality of training rows is learnt.
 
-    Null and empty texts get the score of their statistics. Rows with a null doc_id are scored, and not learnt from.
+    Null and empty texts get the score of their statistics, long ones count whole. Rows with a null doc_id are scored,
+    and not learnt from; repeated rows get the same score. Other columns are not read. Without labels the scores are
+    those of a fixed curve; an empty table gives no rows.
     """
-    stats = cut(with_statistics(docs, ["doc_id"]), "quality")
+    stats = cut(with_statistics(docs, ["doc_id"]), "quality", BATCH_DOCUMENTS)
     known = labels.where(F.col("quality").isin(0, 1) & ~in_held_out()).select("doc_id", F.col("quality").cast("int").alias("y"))
     model = fit(stats.join(known, "doc_id").select("y", "__stats"))
     return _apply(stats, model, "score", "score").select(
@@ -217,12 +219,26 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    stats = cut(with_statistics(docs, docs.columns), "quality")
+    """docs without the rows that the classifier rejects, as a table.
+
+    Nulls, empty and long texts, repeats and empty tables as in quality_scores; columns of any name come back as they
+    are, since a row travels as one struct.
+    """
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     known = labels.where(F.col("quality").isin(0, 1) & ~in_held_out()).select("doc_id", F.col("quality").cast("int").alias("y"))
-    model = fit(stats.select("doc_id", "__stats").join(known, "doc_id").select("y", "__stats"))
-    return _apply(stats, model, "__score", "score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    learnt = cut(with_statistics(rows.join(F.broadcast(known.select("doc_id").distinct()) if known.count() <= BROADCAST_IDS else known, "doc_id", "left_semi"), ["doc_id"]), "quality", BATCH_DOCUMENTS)
+    model = fit(learnt.join(known, "doc_id").select("y", "__stats"))
+    drop_scratch(docs.sparkSession, learnt)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 x FEATURES x FEATURES numbers
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(np.array([text_statistics(t) for t in text])) if len(text) else [], dtype="float64")
+
+    kept = rows.where(score("text") >= THRESHOLD).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return cut(kept, "good", BATCH_DOCUMENTS)
 
 
 def op2_quadratic_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all `documents`: see quality_scores for nulls, empty and long texts, repeats and empty tables."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -20,11 +20,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import cut, drop_scratch, table
-from orbweave.llm.suffix_array import in_order, suffix_order, with_neighbours
+from orbweave.llm.suffix_array import BY_PART_OF_KEY, in_order, suffix_order, with_neighbours
 
 LENGTH = 400
 WINDOW = 192
@@ -182,15 +182,18 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         .select("tid", "copies", "s", F.col("p.names").alias("name"), F.col("p.sizes").alias("size"), F.col("p.depths").alias("depth"))
     )
     common = phrase.groupBy("name").agg(F.sum(F.least("copies", F.lit(2))).alias("times")).where("times > 1").select("name")
-    run = F.struct("tid", (F.col("s") - F.row_number().over(_by("tid", "s"))).alias("g"))
-    shared = phrase.join(common, "name").select("tid", "s", "name", "size", "depth").withColumn("run", run)
-    shared = cut(shared.withColumn("pos", F.row_number().over(_by("run", "s")) - 1), "runs")
+    common = cut(common, "common")  # a table, so that the join below can split what a very frequent phrase gathers
+    shared = phrase.join(common, "name", "left_semi").select("tid", "s", "name", "size", "depth")
+    shared = shared.withColumn("g", F.col("s") - F.row_number().over(_by("tid", "s")))
+    shared = shared.withColumn("pos", F.row_number().over(_by("tid", "g", "s")) - 1)
+    shared = cut(shared.withColumn("run", F.struct("tid", "g")).drop("g"), "runs")
+    drop_scratch(spark, common)
     order = suffix_order(shared.select("run", "pos", "name", "size"), LENGTH - WINDOW + 1, ORDERED)
     by = _by("run", "pos")
     ahead = {f"{c}{k}": F.lead(c, k, 0).over(by) for c in ("name",) for k in (1, 2)}
-    looked = shared.withColumns(ahead).join(order, ["run", "pos"]).select("tid", "s", "depth", "name", "name1", "name2", "mid")
+    looked = shared.repartition("run").withColumns(ahead).join(order.repartition("run"), ["run", "pos"])
     # shared rows are in suffix order by mid, partition number included; write them so that neighbours are in reach
-    looked = in_order(looked.withColumnRenamed("mid", "place"), ["place"], "ordered")
+    looked = in_order(looked.select("tid", "s", "depth", "name", "name1", "name2", F.col("mid").alias("place")), ["place"], "ordered", BY_PART_OF_KEY)
     drop_scratch(spark, shared, order)
     near = with_neighbours(looked, ["name", "name1", "name2"])
 
@@ -261,16 +264,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def _by(part: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(order)
+def _by(*columns: str):
+    return Window.partitionBy(*columns[:-1]).orderBy(columns[-1])
 
 
 def merge(spans: DataFrame) -> DataFrame:
     """Overlapping or touching (start, end) of a text made one."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy("tid").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((reach.isNull() | (F.col("start") > reach)).cast("int")).over(by)

@@ -14,14 +14,16 @@ from pyspark.sql.window import Window
 
 from orbweave.llm.common import cut, drop_scratch
 
-_PART, _OFFSET = 33, (1 << 33) - 1
+_PART = 33
+#: For joins of tables that are both dealt by a part of the join's key.
+BY_PART_OF_KEY = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 
 
-def in_order(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+def in_order(df: DataFrame, columns: list[str], name: str, more: dict[str, str] | None = None) -> DataFrame:
     """df written in the order of columns, with `mid`: ascending in that order, partition number in its upper bits."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
-    return cut(placed.withColumn("mid", F.monotonically_increasing_id()), name)
+    return cut(placed.withColumn("mid", F.monotonically_increasing_id()), name, more=more)
 
 
 def running_count(ordered: DataFrame, flag: str, out: str) -> DataFrame:
@@ -88,8 +90,9 @@ def suffix_order(seq: DataFrame, need: int, names_needed: int, known: int = 3) -
         ranks = deeper.select(F.col("run.run").alias("run"), (F.col("pos") * 3 + F.col("run.residue")).cast("int").alias("pos"), (F.col("mid") + 1).alias("rank"))
     else:
         ranks = named.select("run", "pos", (F.col("rank") + 1).alias("rank"))
-    ranked = triples.join(ranks, ["run", "pos"], "left")
-    ranked = cut(ranked.withColumns({"r1": F.lead("rank", 1, 0).over(by), "r2": F.lead("rank", 2, 0).over(by)}), "ranked")
+    ranked = triples.repartition("run").join(ranks.repartition("run"), ["run", "pos"], "left")  # dealt once, by run
+    ranked = ranked.withColumns({"r1": F.lead("rank", 1, 0).over(by), "r2": F.lead("rank", 2, 0).over(by)})
+    ranked = cut(ranked, "ranked", more=BY_PART_OF_KEY)
     drop_scratch(spark, triples, names, *([deeper] if deeper is not None else []))
     rest = F.col("pos") % 3 == 0
     first = in_order(ranked.where("pos % 3 <> 2").select("run", "pos", "name", "r1", "rank", rest.alias("rest")), ["name", "r1", "run", "pos"], "merge")

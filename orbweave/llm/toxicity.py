@@ -1,9 +1,13 @@
 """Toxicity scores over text that a noisy-channel decoder has restored.
 
-A character trigram model is counted over the whole corpus. Tokens that look disguised (digits or signs inside a
-word, letters set apart, letters repeated) become lattices: each sign may stand for itself, for letters that it is
-used for, or be filler. Viterbi search finds the likeliest letters. Words and word beginnings of the restored text
-that occur almost only in toxic training texts carry the score.
+A character trigram model is counted over the whole corpus, in all scripts. Tokens that look disguised (digits or
+signs inside a word, letters set apart, letters repeated) become lattices: each sign may stand for itself, for letters
+that it is used for, or be filler, and what sets letters apart may also end a word. Viterbi search over all states
+finds the likeliest words. Words and word beginnings of the restored text that occur almost only in toxic training
+texts carry the score.
+
+Tasks get the model as a broadcast while its rows are few (they are counted); beyond that, the distinct disguised
+tokens are joined with the probabilities that their lattices ask for, restored once each, and joined back.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ THRESHOLD = 0.5
 BATCH_DOCUMENTS = 500
 #: Labelled training rows that are learnt from at most; above it a hash sample of that expected size.
 MAX_TRAINING_ROWS = 500_000
-#: Features kept at most, the most telling first.
-MAX_FEATURES = 50_000
+#: Probabilities that may be broadcast; with more, distinct tokens are joined with those that they need.
+MODEL_ROWS = 300_000
 #: z of the lower bound on a feature's share of toxic texts, and that bound.
 CONFIDENCE, PURITY = 2.2, 0.5
 #: Costs (negative log probabilities) of the channel.
 COST_SUBSTITUTE, COST_FILLER, COST_DROP, COST_REPEAT, COST_UNKNOWN = 1.5, 0.7, 7.0, 1.5, 9.0
+#: Costs of a word's end at one separator and at several, besides what the language model says.
+COST_BREAK, COST_WIDE_BREAK = 1.5, 0.1
 
 # Letters that digits and signs are commonly written for.
 STANDS_FOR = {
@@ -39,13 +45,12 @@ STANDS_FOR = {
 FILLER = " .-_*~'`,/\\"
 
 _WORD = re.compile(r"[^\W_]+")
+_STEP = re.compile(f"[{re.escape(FILLER)}]+|(?s:.)")
 _SIGN = re.escape("".join(STANDS_FOR))
 # letters set apart; words with a letter three times in a row; words with signs among or before their letters
-_APART = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|[{_SIGN}])(?:[ .\-_*~]{{1,2}}(?:[^\W\d_]|[{_SIGN}])){{3,23}}(?![^\W_])")
+_APART = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|[{_SIGN}])(?:[ .\-_*~]{{1,2}}(?:[^\W\d_]|[{_SIGN}])){{2,}}(?![^\W_])")
 _DRAWN_OUT = re.compile(r"([^\W\d_])\1\1")
 _SIGNS = re.compile(rf"[^\W\d_](?:[0-9@$]|[{_SIGN}*.\-~`]+[^\W_])|[{_SIGN}][^\W\d_]")
-#: Longer tokens are restored in pieces of this length.
-PIECE = 64
 
 
 def disguised_tokens(text: str, tokens: set[str]) -> set[str]:
@@ -63,57 +68,85 @@ def disguised_tokens(text: str, tokens: set[str]) -> set[str]:
 
 
 class CharacterModel:
-    """Trigram log probabilities with back-off by interpolation; a blank marks both ends of a word."""
-
-    def __init__(self, counts: dict[str, int]):
-        pairs, ones = Counter(), Counter()
-        for gram, n in counts.items():
-            pairs[gram[:2]] += n
-            ones[gram[2]] += n
-        firsts = Counter()
-        seconds: Counter = Counter()
-        for gram, n in counts.items():
-            seconds[gram[1:]] += n
-            firsts[gram[1]] += n
-        total = sum(ones.values()) or 1
-        self.single = {c: n / total for c, n in ones.items()}
-        self.double = {g: n / firsts[g[0]] for g, n in seconds.items()}
-        self.triple = {g: n / pairs[g[:2]] for g, n in counts.items()}
+    """Trigram costs, interpolated with those of pairs and single letters; a blank marks both ends of a word."""
+
+    def __init__(self, chances: dict[str, float]):
+        #: Probability of a letter, or of the last letter of a pair or triple after those before it.
+        self.chances = chances
+        self.known: dict[str, float] = {}
 
     def cost(self, before: str, c: str) -> float:
-        p = 0.7 * self.triple.get(before + c, 0.0) + 0.25 * self.double.get(before[1] + c, 0.0) + 0.05 * self.single.get(c, 0.0)
-        return -math.log(p) if p > 0 else COST_UNKNOWN
+        gram = before + c
+        found = self.known.get(gram)
+        if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            p = 0.7 * self.chances.get(gram, 0.0) + 0.25 * self.chances.get(gram[1:], 0.0) + 0.05 * self.chances.get(c, 0.0)
+            found = self.known[gram] = -math.log(p) if p > 0 else COST_UNKNOWN
+        return found
 
     def restore(self, token: str) -> str:
-        """The likeliest letters behind a disguised token (lower case); what cannot be a letter is dropped."""
-        paths = {("  ", ""): (0.0, "")}  # (two letters before, sign before) -> cost, letters
-        for sign in token.lower():
-            after: dict[tuple[str, str], tuple[float, str]] = {}
-
-            def step(key, cost, text, after=after):
-                if key not in after or cost < after[key][0]:
-                    after[key] = (cost, text)
+        """The likeliest words behind a disguised token (lower case); what cannot be a letter is dropped.
+
+        A state is the two letters before and whether the sign last read is the next one too, as only equal signs in
+        a row may be one letter. No state is left out.
+        """
+        steps = [(m.group(0), m.group(0)[0] in FILLER) for m in _STEP.finditer(token.lower())]
+        coming, following = [], ""
+        for sign, filler in reversed(steps):
+            coming.append(following)
+            following = following if filler else sign
+        paths: dict[tuple[str, bool], tuple[float, tuple | None]] = {("  ", False): (0.0, None)}  # cost, letters (last first)
+        for (sign, filler), ahead in zip(steps, reversed(coming)):
+            after: dict[tuple[str, bool], tuple[float, tuple | None]] = {}
+
+            def step(before, again, cost, letters, after=after):
+                have = after.get((before, again))
+                if have is None or cost < have[0]:
+                    after[before, again] = (cost, letters)
+
+            if filler:
+                for (before, again), (cost, letters) in paths.items():
+                    step(before, again, cost + COST_FILLER * len(sign), letters)
+                    if before[1] != " ":
+                        end = COST_BREAK if len(sign) == 1 else COST_WIDE_BREAK
+                        step("  ", False, cost + end + self.cost(before, " "), (" ", letters))
+            else:
+                letter, same = sign.isalpha(), sign == ahead
+                options = [(sign, 0.0)] if letter else [(c, COST_SUBSTITUTE) for c in STANDS_FOR.get(sign, "")]
+                for (before, again), (cost, letters) in paths.items():
+                    for c, extra in options:
+                        step(before[1] + c, same, cost + extra + self.cost(before, c), (c, letters))
+                        if again and before[1] == c:
+                            step(before, same, cost + COST_REPEAT, letters)
+                    if not letter:
+                        step(before, same, cost + COST_DROP, letters)
+            paths = after
+        ends = sorted(((cost + self.cost(before, " "), before, again) for (before, again), (cost, _) in paths.items()))
+        letters, out = paths[ends[0][1:]][1], []
+        while letters:
+            c, letters = letters
+            out.append(c)
+        return "".join(reversed(out))
+
+
+class _Recorder(CharacterModel):
+    """Notes which probabilities a lattice asks for: as no state is left out, they do not depend on the costs."""
+
+    def __init__(self):
+        self.asked: set[str] = set()
 
-            options = [(sign, 0.0)] if sign.isalpha() else [(c, COST_SUBSTITUTE) for c in STANDS_FOR.get(sign, "")]
-            for (before, last), (cost, text) in paths.items():
-                for c, extra in options:
-                    step((before[1] + c, sign), cost + extra + self.cost(before, c), text + c)
-                    if text and text[-1] == c and last == sign:
-                        step((before, sign), cost + COST_REPEAT, text)
-                if not sign.isalpha():
-                    step((before, last if sign in FILLER else sign), cost + (COST_FILLER if sign in FILLER else COST_DROP), text)
-            paths = dict(sorted(after.items(), key=lambda x: x[1][0])[:64]) or paths
-        return min((cost + self.cost(before, " "), text) for (before, _), (cost, text) in paths.items())[1]
+    def cost(self, before: str, c: str) -> float:
+        self.asked.update((before + c, before[1] + c, c))
+        return 0.0
 
 
-#: Letters beyond this code point count as blanks in the character model.
-ALPHABET_END = 0x3000
+ALPHABET_END = 0x110000
 
 
 def trigram_counts(texts: list[str]) -> dict[str, int]:
     """Letter trigrams of texts in lower case; anything else is a blank, and a word starts as if after two blanks."""
     codes = np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(codes < ALPHABET_END, codes, 32)
     seen = np.flatnonzero(np.bincount(codes, minlength=ALPHABET_END))
     letters = [c for c in seen.tolist() if chr(c).isalpha()]
     number = np.zeros(ALPHABET_END, np.int64)
@@ -138,21 +171,73 @@ def character_counts(docs: DataFrame) -> DataFrame:
     def run(frames):
         for pdf in frames:
             grams = trigram_counts([t or "" for t in pdf["text"]])
-            yield pd.DataFrame({"gram": list(grams), "n": list(grams.values())}, columns=["gram", "n"]).astype({"n": "int64"})
+            yield pd.DataFrame({"gram": list(grams), "n": list(grams.values())}, columns=["gram", "n"]).astype({"gram": "object", "n": "int64"})
 
     return docs.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def restored_words(text: str | None, model: CharacterModel, known: dict[str, str]) -> set[str]:
-    """Distinct lower-case words of a text and of what its disguised tokens restore to; known caches the latter."""
+def chances_of(counts: DataFrame) -> DataFrame:
+    """gram, p: of each letter, pair and triple that occurs, how likely its last letter is after those before it."""
+    part = lambda i, n: F.substring("gram", i, n)
+    total = counts.agg(F.sum("n").alias("total"))
+    triples = counts.join(counts.groupBy(part(1, 2).alias("before")).agg(F.sum("n").alias("m")), F.expr("substring(gram, 1, 2) = before"))
+    pairs = counts.groupBy(part(2, 2).alias("gram")).agg(F.sum("n").alias("n"))
+    firsts = counts.groupBy(part(2, 1).alias("before")).agg(F.sum("n").alias("m"))
+    pairs = pairs.join(firsts, F.expr("substring(gram, 1, 1) = before"))
+    ones = counts.groupBy(part(3, 1).alias("gram")).agg(F.sum("n").alias("n")).join(F.broadcast(total.withColumnRenamed("total", "m")))  # one row
+    return triples.select("gram", "n", "m").union(pairs.select("gram", "n", "m")).union(ones.select("gram", "n", "m")).select("gram", (F.col("n") / F.col("m")).alias("p"))
+
+
+def with_restored(docs: DataFrame, chances: DataFrame) -> DataFrame:
+    """docs with `__restored`: what the disguised tokens of each text restore to, without a broadcast model.
+
+    Distinct tokens meet the probabilities that their lattices ask for in a join; each is restored once.
+    """
+
+    def tokens(frames):
+        for pdf in frames:
+            found = [(k, t) for k, text in zip(pdf["text_key"], pdf["text"]) for t in disguised_tokens(text, set(text.split()))]
+            yield pd.DataFrame(found, columns=["text_key", "token"])
+
+    def asked(frames):
+        for pdf in frames:
+            out = []
+            for token in pdf["token"]:
+                recorder = _Recorder()
+                recorder.restore(token)
+                out += [(token, g) for g in recorder.asked]
+            yield pd.DataFrame(out, columns=["token", "gram"])
+
+    def restore(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"token": pdf["token"], "restored": [CharacterModel(dict(c or {})).restore(t) for t, c in zip(pdf["token"], pdf["chances"])]})
+
+    texts = docs.select(F.md5("text").alias("text_key"), "text").where("text is not null")
+    found = cut(texts.mapInPandas(tokens, "text_key string, token string").distinct(), "tokens", BATCH_DOCUMENTS)
+    needed = found.select("token").distinct().mapInPandas(asked, "token string, gram string")
+    # a token has no more grams than its length times the signs' letters squared
+    filled = needed.join(chances, "gram", "left").groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("gram", F.coalesce("p", F.lit(0.0))))).alias("chances"))
+    restored = cut(filled.mapInPandas(restore, "token string, restored string"), "restored", BATCH_DOCUMENTS)
+    per_text = found.join(restored, "token").groupBy("text_key").agg(F.collect_set("restored").alias("__restored"))
+    per_text = cut(per_text, "restored-texts").withColumnRenamed("text_key", "__text_key")
+    return docs.join(per_text, F.md5("text") == F.col("__text_key"), "left").drop("__text_key")
+
+
+def restored_words(text: str | None, model: CharacterModel | None, known: dict[str, str], restored=None) -> set[str]:
+    """Distinct lower-case words of a text and of what its disguised tokens restore to; known caches the latter.
+
+    Without a model, restored has what the tokens restore to.
+    """
     text = text or ""
     tokens = set(text.split())
     words = set(_WORD.findall(" ".join(tokens).lower()))
+    if model is None:
+        return words.union(*[x.split() for x in restored]) if restored is not None else words
     for token in disguised_tokens(text, tokens):
         if token not in known:
             if len(known) > 200_000:
                 known.clear()
-            known[token] = " ".join(model.restore(token[i : i + PIECE]) for i in range(0, len(token), PIECE))
+            known[token] = model.restore(token)
         words.update(known[token].split())
     return words
 
@@ -176,8 +261,8 @@ def _feature_counts(labelled: DataFrame, model) -> DataFrame:
             return out.astype({"feature": "object", "toxic": "int64", "clean": "int64"})
 
         for pdf in frames:
-            for text, y in zip(pdf["text"], pdf["y"]):
-                words = {w for w in restored_words(text, model.value, known) if len(w) <= 24}
+            for text, y, restored in zip(pdf["text"], pdf["y"], pdf["__restored"]):
+                words = restored_words(text, model.value, known, restored)
                 counts[y].update({"=" + w for w in words})
                 for k in BEGINNINGS:
                     counts[y].update({w[:k] for w in words if len(w) >= k})
@@ -197,9 +282,9 @@ def _evidence(docs: DataFrame, keep: list[str], model, weights) -> DataFrame:
         telling: dict[str, float] = {}  # weights of words met so far
         for pdf in frames:
             most, total = [], []
-            for text in pdf.pop("__text"):
+            for text, restored in zip(pdf.pop("__text"), pdf.pop("__restored")):
                 best = every = 0.0
-                for w in restored_words(text, model.value, known):
+                for w in restored_words(text, model.value, known, restored):
                     own = telling.get(w)
                     if own is None:
                         if len(telling) > 300_000:
@@ -213,42 +298,46 @@ def _evidence(docs: DataFrame, keep: list[str], model, weights) -> DataFrame:
             pdf["strongest"], pdf["summed"] = most, total
             yield pdf.astype({"strongest": "float64", "summed": "float64"})
 
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    return kept.mapInPandas(run, kept.drop("__text").withColumns({"strongest": F.lit(0.0), "summed": F.lit(0.0)}).schema)
+    kept = docs.select(*keep, F.col("text").alias("__text"), "__restored")
+    return kept.mapInPandas(run, kept.drop("__text", "__restored").withColumns({"strongest": F.lit(0.0), "summed": F.lit(0.0)}).schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; labels.toxic of training rows is learnt.
 
-    Null and empty texts get the score of a text without evidence. Rows with a null doc_id are scored, not learnt.
+    Null and empty texts get the score of a text without evidence. Rows with a null doc_id are scored, not learnt;
+    repeated rows get the same score. Texts and tokens count whole, however long. Other columns are not read. Without
+    labels of both classes the scores are those of a fixed curve; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_DOCUMENTS)
     share = spark.sparkContext.broadcast
-    # Trigrams of the letters in use: their number is bounded by the alphabets, not by the texts; rare ones add nothing.
-    grams = character_counts(docs).orderBy(F.desc("n"), "gram").limit(200_000).collect()
-    model = share(CharacterModel({r["gram"]: r["n"] for r in grams}))
+    docs = docs.select("doc_id", "text")
+    chances = cut(chances_of(cut(character_counts(docs), "grams", BATCH_DOCUMENTS)), "chances")
+    if chances.count() <= MODEL_ROWS:
+        model = share(CharacterModel({r["gram"]: r["p"] for r in chances.collect()}))
+        docs = docs.withColumn("__restored", F.lit(None).cast("array<string>"))
+    else:
+        model, docs = share(None), with_restored(docs, chances)
     known = labels.where(F.col("toxic").isin(0, 1) & ~in_held_out()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     n = known.count()
     if n > MAX_TRAINING_ROWS:
         known = known.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_TRAINING_ROWS / n))
     known = F.broadcast(known)  # MAX_TRAINING_ROWS ids, on average, at most
-    training = docs.select("doc_id", "text").join(known, "doc_id").select("text", "y")
+    training = docs.join(known, "doc_id").select("text", "y", "__restored")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     odds = (sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)
     # the share of toxic texts, as if both classes were equally frequent, is pure enough and not met by chance
     weight = F.log((F.col("toxic") + 0.1) / (F.col("clean") + 0.5) / odds)
-    telling = (
+    telling = cut(
         _feature_counts(training, model)
         .where(F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean") + CONFIDENCE**2))
         .select("feature", weight.alias("weight"))
-        .where("weight > 0")
-        .orderBy(F.desc("weight"), "feature")
-        .limit(MAX_FEATURES)
-        .collect()
-    )
+        .where("weight > 0"),
+        "features",
+        BATCH_DOCUMENTS,
+    ).collect()  # features of five toxic texts at least, out of the bounded training sample
     weights = share({r["feature"]: r["weight"] for r in telling})
-    evidence = cut(_evidence(docs, ["doc_id"], model, weights), "toxic-evidence")
+    evidence = cut(_evidence(docs, ["doc_id"], model, weights), "toxic-evidence", BATCH_DOCUMENTS)
     bins = (
         evidence.join(known, "doc_id")
         .groupBy("y", F.round(F.col("strongest") * 4).alias("a"), F.round(F.log1p("summed") * 4).alias("b"))
@@ -266,4 +355,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all `documents`: see toxicity_scores for nulls, empty and long texts, repeats and empty tables."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

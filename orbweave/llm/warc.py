@@ -183,8 +183,6 @@ _RECORD = "page_id string, url string, record_type string, payload binary, paylo
 
 def read_records(index: DataFrame) -> DataFrame:
     """Each indexed record, by range reads; a response whose payload does not match its digest is an error."""
-    index.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
     def run(frames):
         for pdf in frames:
             for start in range(0, len(pdf), 100):
@@ -216,17 +214,17 @@ def plan_records(pages: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("digest", "first")
     )
+    shared = cut(shared, "shared-payloads")  # a table, so that the join can split the rows of a very frequent payload
     return keyed.join(shared, "digest", "left").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
 
 
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record per page to packages in folder; one row per package: package (URI), n_records, n_bytes.
 
-    The rows are kept in the shared folder, so a later stage never writes packages again.
+    Null pages are empty payloads; repeated ids and rows each get a record, and long pages are stored whole. Columns
+    but page_id, url and html are not read. No pages give no packages. The rows are kept in the shared folder, so a
+    later stage never writes packages again.
     """
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
     def run(frames):
         task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -249,10 +247,11 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
         F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("refers_to").cast("string").alias("refers")
     )
     written = named.mapInPandas(run, "package string, n_records long, n_bytes long")
-    return cut(written, "packages")
+    return cut(written, "packages", BATCH_ROWS)
 
 
 def op6_zip_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `pages` written to packages and read back: see write_packages for nulls, repeats and empty tables."""
     packages = write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = read_index(packages.repartition(parts))

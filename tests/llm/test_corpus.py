@@ -53,6 +53,7 @@ def test_tokens_equal_the_library_and_decode_to_the_text(odd, empty):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = bpe.decode(bpe.encode(odd, ["doc_id", "stats", "text"], ranks, public_tokenizers.PATTERN), ranks).collect()
     assert len(got) == 9
+    assert bpe.token_digests(odd).count() == 9
     for r in got:
         assert list(r.ids) == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert bpe.token_digests(empty).count() == 0
@@ -106,14 +107,79 @@ def test_classifiers_on_odd_rows(odd, empty, labels):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def _model(text):
+    counts = toxicity.trigram_counts([text])
+    sums = {}
+    for g, n in counts.items():
+        for k in ("3" + g[:2], "2" + g[1], "1"):
+            sums[k] = sums.get(k, 0) + n
+    chances = {g: n / sums["3" + g[:2]] for g, n in counts.items()}
+    for g, n in counts.items():
+        chances[g[1:]] = chances.get(g[1:], 0) + n / sums["2" + g[1]]
+        chances[g[2]] = chances.get(g[2], 0) + n / sums["1"]
+    return toxicity.CharacterModel(chances)
+
+
+def test_chances_are_shares_of_counts(spark):
+    text = "you idiot, ein Täter und 日本語の文 too"
+    docs = spark.createDataFrame([(text,), (None,)], "text string")
+    got = {r.gram: r.p for r in toxicity.chances_of(toxicity.character_counts(docs)).collect()}
+    assert got == pytest.approx(_model(text).chances) and any("日" in g for g in got)
+
+
+PROSE = "you idiot and moron are stupid trash, what a pathetic loser, the clown said that it is the one " * 20
+
+
 def test_disguised_words_are_restored():
-    text = "you idiot and moron are stupid trash, what a pathetic loser, the clown said that it is the one " * 20
-    model = toxicity.CharacterModel(toxicity.trigram_counts([text]))
-    for token, word in [("1d1ot", "idiot"), ("m0r0n", "moron"), ("s t u p i d", "stupid"), ("tr@sh", "trash"), ("l-o-s-e-r", "loser"), ("clooown", "clown"), ("$tup1d", "stupid")]:
+    model = _model(PROSE)
+    for token, word in [
+        ("1d1ot", "idiot"), ("m0r0n", "moron"), ("s t u p i d", "stupid"), ("tr@sh", "trash"), ("l-o-s-e-r", "loser"), ("clooown", "clown"), ("$tup1d", "stupid"),
+        ("you are a m o r o n", "moron"), ("y o u i d i o t", "idiot"), ("2 4 6 8 m o r o n", "moron"), ("y o u  a r e  a  m o r o n", "moron"), ("o n e", "one"),
+        ("w h a t a p a t h e t i c m o r o n t h e c l o w n i s", "pathetic"),
+    ]:
         assert word in toxicity.restored_words(f"so {token}, then", model, {}), token
     assert toxicity.restored_words(None, model, {}) == set()
 
 
+def test_restoring_equals_trying_every_reading():
+    model, rng = _model(PROSE), random.Random(4)
+
+    def readings(signs, before, last, cost, text):
+        """All paths of the lattice: (cost, text)."""
+        if not signs:
+            yield cost + model.cost(before, " "), text
+            return
+        m = toxicity._STEP.match(signs)
+        sign, rest = m.group(0), signs[m.end() :]
+        if sign[0] in toxicity.FILLER:
+            yield from readings(rest, before, last, cost + toxicity.COST_FILLER * len(sign), text)
+            if before[1] != " ":
+                end = toxicity.COST_BREAK if len(sign) == 1 else toxicity.COST_WIDE_BREAK
+                yield from readings(rest, "  ", "", cost + end + model.cost(before, " "), text + " ")
+            return
+        options = [(sign, 0.0)] if sign.isalpha() else [(c, toxicity.COST_SUBSTITUTE) for c in toxicity.STANDS_FOR.get(sign, "")]
+        for c, extra in options:
+            yield from readings(rest, before[1] + c, sign, cost + extra + model.cost(before, c), text + c)
+            if last == sign and before[1] == c:
+                yield from readings(rest, before, sign, cost + toxicity.COST_REPEAT, text)
+        if not sign.isalpha():
+            yield from readings(rest, before, sign, cost + toxicity.COST_DROP, text)
+
+    for _ in range(300):
+        token = "".join(rng.choice("ootal11003s$ -#") for _ in range(rng.randint(1, 8)))
+        found = list(readings(token.lower(), "  ", "", 0.0, ""))
+        best = min(found)[0]
+        assert model.restore(token) in {t for c, t in found if c < best + 1e-9}, token
+
+
+def test_model_by_join_equals_model_by_broadcast(spark, odd, labels, monkeypatch):
+    docs = odd.union(odd.selectExpr("doc_id + 100", "concat(text, ' m0r0n i d i o t')", "stats", "key", "ids", "spans", "shard", "decoded", "score", "y"))
+    rows = lambda: sorted(map(repr, toxicity.toxicity_scores(docs, labels).collect()))
+    want = rows()
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    assert rows() == want
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
@@ -312,17 +378,52 @@ def test_packages_round_trip(spark, tmp_path):
     assert warc.read_records(warc.read_index(warc.write_packages(none, f"file://{tmp_path}/q"))).count() == 0
 
 
-def test_zip64_directories_are_read(tmp_path):
+def test_zip64_directories_are_read(tmp_path, monkeypatch):
+    import zipfile
+
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 1)  # so that a small file has wide sizes, offsets and the ZIP64 end record
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
     uri = f"file://{tmp_path}/big.wacz"
     warc.write_package(uri, [("1", b"abc"), ("2", b"defg")], zip64=True)
     raw = (tmp_path / "big.wacz").read_bytes()
+    assert b"PK\6\6" in raw and b"PK\6\7" in raw
     at = warc.members(io.BytesIO(raw))
     start, size, _ = at[warc.DATA]
-    assert raw[start : start + size] == b"abcdefg"
+    assert raw[start : start + size] == b"abcdefg" and warc.INDEX in at
     with pytest.raises(ValueError):
         warc.members(io.BytesIO(b"no archive"))
 
 
+def test_odd_pages(spark, tmp_path):
+    rows = [(None, "u", "x" * 150, 1), (7, None, None, 2), (7, None, None, 2), (8, "v", "y" * 2_000_000, 3), (9, "w", "y" * 2_000_000, 4), (7, "t", "x" * 150, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    got = warc.read_records(warc.read_index(warc.write_packages(pages, f"file://{tmp_path}/p"))).collect()
+    assert len(got) == 6 and sorted(r.payload_bytes for r in got) == [0, 0, 150, 150, 2_000_000, 2_000_000]
+    assert [r.refers_to for r in got if r.page_id == "9"] == ["8"]
+
+
+def clashing(spark, docs):
+    """docs with columns named like those that the operators use inside."""
+    names = ("__kept", "__key", "__stats", "__score", "__spans", "__text", "__doc", "__n", "__row", "__new", "row", "text_key", "score", "y", "key", "spans", "n", "root")
+    return docs.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(names)], F.length("text").alias("n_chars"))
+
+
+def test_clashing_columns_come_back(spark, odd, labels):
+    docs = clashing(spark, odd)
+    bench = spark.createDataFrame([(1, "not in any text at all, nowhere")], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels), near_dedup.keep_one(docs), decontamination.decontaminate(docs, bench), pii.redact(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r)[2:-1] for r in out.collect()} == {tuple(range(18))}
+
+
+def test_long_contaminated_text(spark):
+    rng = random.Random(9)
+    item = " ".join(f"w{rng.randrange(5000)}" for _ in range(3000))
+    docs = spark.createDataFrame([(1, " ".join([item] * 6)), (2, "free of it"), (1, item)], "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert sorted(r.n_hit for r in got) == [3000, 18000]
+
+
 # ---------------------------------------------------------------- repeated strings
 
 
@@ -330,7 +431,7 @@ def test_suffix_order_equals_sorting(spark):
     rng = random.Random(3)
     seqs = [[rng.randint(1, 2) for _ in range(rng.randint(1, 30))] for _ in range(5)] + [[1] * 17, [1, 2] * 9]
     rows = [(r, p, x, 1) for r, s in enumerate(seqs) for p, x in enumerate(s)]
-    order = suffix_array.suffix_order(spark.createDataFrame(rows, "run long, pos int, name long, size int"), 10**6).orderBy("mid").collect()
+    order = suffix_array.suffix_order(spark.createDataFrame(rows, "run long, pos int, name long, size int"), 10**6, 10**6).orderBy("mid").collect()
     suffixes = [tuple(seqs[r.run][r.pos :]) for r in order]
     assert len(order) == len(rows) and suffixes == sorted(suffixes)
 
