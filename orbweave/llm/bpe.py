@@ -163,9 +163,31 @@ def _messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def encode(docs: DataFrame, id_columns: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+class TokenTable:
+    """Token bytes by id, laid end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.ends = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; an id that the table lacks is an error."""
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.max() >= len(self.ends) - 1 or ids.min() < 0):
+            raise ValueError("an id is not in the token table")
+        out, lengths = gather(self.ends, self.flat, ids)
+        upto = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))]
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def encode(docs: DataFrame, id_columns: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Id columns of each row of docs with `ids`, the token ids of its whole text (array<int>).
 
+    decoded: a column `decoded` too, the bytes of these ids, as decode() gives them; the ids then need no second worker.
+
     Each match of the pattern is encoded alone, without special tokens. Null and empty texts have no ids. Repeated
     rows give repeated rows, and rows of one id with different texts stay apart; ids may be null. A text is never
     split, however long. Columns other than id_columns and text are not read. Id columns may be named chunk, bucket or
@@ -231,15 +253,16 @@ def encode(docs: DataFrame, id_columns: list[str], ranks: dict[bytes, int], patt
         tokens, per_word = gather(np.concatenate(([0], np.cumsum(lengths))), flat, where)
         upto = np.concatenate(([0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(sizes)))]
         values = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(tokens, pa.int32()))
-        return pa.table([*ids.columns, values], names=[*ids.schema.names, "ids"])
+        more = [TokenTable(shared.value).decode(values)] if decoded else []
+        return pa.table([*ids.columns, values, *more], names=[*ids.schema.names, "ids", *["decoded"] * decoded])
 
     asked = named.mapInArrow(words_out, _MESSAGE).repartition(buckets, "bucket").mapInArrow(answer, _MESSAGE)
     kept = named.mapInArrow(positions_out, _MESSAGE)
     # kept comes first in the union, so that its partitions have the same numbers in both passes
     out = kept.union(asked).groupBy("chunk").applyInArrow(
-        assemble, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in id_schema], "ids array<int>"])
+        assemble, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in id_schema], "ids array<int>", *["decoded binary"] * decoded])
     )
-    return out.select(*[F.col(f"id{i}").alias(c) for i, c in enumerate(id_columns)], "ids")
+    return out.select(*[F.col(f"id{i}").alias(c) for i, c in enumerate(id_columns)], "ids", *["decoded"] * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -247,29 +270,14 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Dat
 
     An id that the table lacks is an error.
     """
-    spark = encoded.sparkSession
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        tokens[i] = token
-    shared = spark.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast(TokenTable(ranks))  # a vocabulary file, of fixed size
     plain = encoded.drop("decoded")
     schema = plain.select("*", F.lit(b"").alias("decoded")).schema
 
     def run(batches):
-        table_ends = np.concatenate(([0], np.cumsum([len(t) for t in shared.value])))
-        table_bytes = np.frombuffer(b"".join(shared.value), np.uint8)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids)).fill_null([])
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and (flat.max() >= len(shared.value) or flat.min() < 0):
-                raise ValueError("an id is not in the token table")
-            sizes = np.diff(lists.offsets.to_numpy())
-            out, lengths = gather(table_ends, table_bytes, flat)
-            upto = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
-            body = pa.Array.from_buffers(
-                pa.binary(), len(lists), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())]
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns, body], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, shared.value.decode(lists)], names=[*batch.schema.names, "decoded"])
 
     return plain.mapInArrow(run, schema)
 
@@ -282,8 +290,7 @@ def token_digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = encode(docs, ["doc_id"], ranks, public_tokenizers.PATTERN)
-    digests = decode(encoded, ranks).select(
+    digests = encode(docs, ["doc_id"], ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

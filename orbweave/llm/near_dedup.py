@@ -279,10 +279,10 @@ def _placed(docs: DataFrame, size: int) -> DataFrame:
     )
     roots = settle(_estimated(untested(pairs), odd))
     owned = each.select("key", "doc_id", "copies").join(roots, F.col("key") == F.col("node"), "left")
-    owned = owned.select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root"))
+    owned = cut(owned.select("key", "doc_id", "copies", F.coalesce("root", "key").alias("root")), "owned")
     names = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1").drop("size")
-    # a table, so that the last join can split the rows of a very frequent set
-    named = cut(owned.select("key", "root").join(names, "root", "left"), "components")
+    # tables, so that the joins can split the rows of a large component or a very frequent set
+    named = cut(owned.select("key", "root").join(cut(names, "names"), "root", "left"), "components")
     drop_scratch(spark, members, first, sets, scored, placed, split, found, tested)
     out = sketched.select("doc_id", "text_key", "n_shingles", "key").join(named, "key", "left")
     component = F.coalesce("component_id", "doc_id")

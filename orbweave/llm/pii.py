@@ -216,7 +216,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Null texts stay null; repeated rows stay; a row travels as one struct, so columns of any name come back.
     """
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = find_spans(rows, ["text", "row"], "spans")
+    found = find_spans(rows, ["row"], "spans")
 
     @F.pandas_udf("string")
     def replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -232,7 +232,7 @@ def redact(docs: DataFrame) -> DataFrame:
             out.append(None if t is None else "".join(reversed([*parts, t[:end]])))
         return pd.Series(out, dtype="object")
 
-    new = F.when(F.size("spans") > 0, replaced("text", "spans")).otherwise(F.col("text"))
+    new = F.when(F.size("spans") > 0, replaced("row.text", "spans")).otherwise(F.col("row.text"))
     own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("__new")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.size("spans") > 0, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
