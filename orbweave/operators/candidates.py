@@ -87,9 +87,17 @@ CANDIDATE_SQL = """candidate AS (
         FROM task_window w JOIN task USING (scenario_id, task_id) JOIN satellite USING (satellite_id)) WHERE max_k >= 0)))"""
 
 
+def candidate_counts(t: Scenarios) -> DataFrame:
+    """scenario_id, satellite_id, task_id, n, gb: candidates of each window and their volume, counted without listing them."""
+    max_k = F.floor((F.col("end_s") - F.col("start_s") - F.col("duration_s") + 1e-9) / F.col("step_s")).cast("long")
+    n = F.when(F.col("maneuverability") == "non_agile", F.lit(1).cast("long")).otherwise(max_k + 1)
+    rows = t.window_row.join(t.task, ["scenario_id", "task_id"]).join(t.satellite, "satellite_id").where(max_k >= 0)
+    return rows.select("scenario_id", "satellite_id", "task_id", n.alias("n"), (n * data_volume_gb(F.col("data_rate_mbps"), F.col("duration_s"))).alias("gb"))
+
+
 def candidate_statistics(spark, sf_dir: str) -> DataFrame:
     """Per scenario: candidates enumerated, kept under the cap, tasks that reached it."""
-    all_of = candidates_of(Scenarios(spark, sf_dir)).groupBy("scenario_id", "task_id").agg(F.count("*").alias("n"), F.sum("data_volume_gb").alias("gb"))
+    all_of = candidate_counts(Scenarios(spark, sf_dir)).groupBy("scenario_id", "task_id").agg(F.sum("n").alias("n"), F.sum("gb").alias("gb"))
     return all_of.groupBy("scenario_id").agg(
         F.sum("n").alias("enumerated"),
         F.sum(F.least("n", F.lit(CAP))).alias("kept"),
@@ -115,7 +123,7 @@ def window_placements(spark, sf_dir: str) -> DataFrame:
 def task_opportunity(spark, sf_dir: str) -> DataFrame:
     """Per scenario: mean candidates of a task, share of tasks with two at most, tasks without any counted."""
     t = Scenarios(spark, sf_dir)
-    n = candidates_of(t).groupBy("scenario_id", "task_id").agg(F.count("*").alias("n"))
+    n = candidate_counts(t).groupBy("scenario_id", "task_id").agg(F.sum("n").alias("n"))
     per = t.task.join(n, ["scenario_id", "task_id"], "left").select("scenario_id", F.coalesce("n", F.lit(0)).alias("n"))
     return per.groupBy("scenario_id").agg(
         F.count("*").alias("tasks"), F.round(F.avg("n"), 6).alias("mean_candidates"), F.round(F.avg((F.col("n") <= 2).cast("double")), 6).alias("scarce_share")
@@ -123,9 +131,9 @@ def task_opportunity(spark, sf_dir: str) -> DataFrame:
 
 
 def downlink_options(spark, sf_dir: str) -> DataFrame:
-    """Per scenario and satellite: candidates (first of each window) with a downlink, and their placements."""
+    """Per scenario and satellite: candidates with a downlink, and their placements."""
     t = Scenarios(spark, sf_dir)
-    pairs = downlink_pairs(candidates_of(t).where("k = 0"), t.comm_window)
+    pairs = downlink_pairs(candidates_of(t), t.comm_window)
     return pairs.groupBy("scenario_id", "satellite_id").agg(
         F.countDistinct("window_id").alias("windows"), F.count("*").alias("placements"), F.sum("gs_start_s").alias("start_sum")
     )
@@ -159,6 +167,6 @@ QUERIES = {
         BOUND + "," + CANDIDATE_SQL + """ SELECT scenario_id, satellite_id, count(DISTINCT window_id) AS windows, count(*) AS placements, CAST(sum(g) AS BIGINT) AS start_sum
         FROM (SELECT scenario_id, satellite_id, window_id, unnest(list_distinct([b, b + s // 2, b + s])) AS g
           FROM (SELECT c.*, greatest(m.start_s, c_end_s) AS b, m.end_s - greatest(m.start_s, c_end_s) - duration_s AS s
-                FROM candidate c JOIN comm_window m USING (satellite_id) WHERE k = 0) WHERE s >= 0) GROUP BY ALL""",
+                FROM candidate c JOIN comm_window m USING (satellite_id)) WHERE s >= 0) GROUP BY ALL""",
     ),
 }

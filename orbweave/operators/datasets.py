@@ -16,16 +16,6 @@ def normalised_weights(weights: list[Column]) -> list[Column]:
     return [F.when(total > 0, w / total).otherwise(1.0 if i == 0 else 0.0) for i, w in enumerate(weights)]
 
 
-def schedule_name_parts(name: Column) -> Column:
-    """struct(solver, class, objective, stem) from names such as sa_class2_profit_run3.json."""
-    stem = F.regexp_replace(name, r"\.json$", "")
-    part = lambda p: F.nullif(F.regexp_extract(stem, p, 1), F.lit(""))
-    return F.struct(
-        F.coalesce(part(r"^([a-z0-9]+)_class\d"), part(r"^([a-z0-9]+)_")).alias("solver"), part(r"_class(\d)").try_cast("int").alias("class"),
-        F.coalesce(part(r"_(profit|completion|timeliness|balance)(?:_|$)"), F.lit("implicit")).alias("objective"), stem.alias("stem"),
-    )
-
-
 def trajectory_validation(spark, sf_dir: str) -> DataFrame:
     """Counters of the rules that steps must keep, and the verdict."""
     t = Scenarios(spark, sf_dir)

@@ -35,8 +35,8 @@ def satellite_violations(assignment: DataFrame, satellite: DataFrame) -> DataFra
     a = posed(assignment, satellite).select(
         *KEY, "satellite_id", "task_id", "window_id", "sat_start_s", "sat_end_s", "maneuverability", "roll0", "pitch0", "roll1", "pitch1"
     )
-    reach = int(16 + transition_bound_s())
-    pairs = follows_within(a, a.drop("maneuverability"), [*KEY, "satellite_id"], "sat_start_s", F.lit(reach), reach)
+    reach = F.col("sat_end_s") - F.col("sat_start_s") + int(transition_bound_s())
+    pairs = follows_within(a, a.drop("maneuverability"), [*KEY, "satellite_id"], "sat_start_s", reach, 158)
     later = F.struct("r_sat_start_s", "r_task_id") > F.struct("sat_start_s", "task_id")
     overlap = F.col("r_sat_start_s") < F.col("sat_end_s")
     return pairs.where(later & (overlap | (F.col("sat_end_s") + _turn() > F.col("r_sat_start_s")))).withColumn(
@@ -216,7 +216,7 @@ def job_matrix(spark, sf_dir):
 
 _POSED = """posed AS (SELECT a.*, maneuverability, seed % 91 - 45 AS roll0, (7 * satellite_id) % 91 - 45 AS pitch0,
   (seed + 3 * (duration_s // 10)) % 91 - 45 AS roll1, (7 * satellite_id + 2 * (duration_s // 10)) % 91 - 45 AS pitch1 FROM assignment a JOIN satellite USING (satellite_id))"""
-_TURN = """CAST(CASE WHEN {m} <> 'agile' OR {g} <= 10 THEN 11.66 WHEN {g} <= 30 THEN 5 + {g} / 1.5::DOUBLE WHEN {g} <= 60 THEN 10 + {g} / 2.0::DOUBLE
+_TURN = """CAST(CASE WHEN {m} <> 'agile' THEN 10.0 WHEN {g} <= 10 THEN 11.66 WHEN {g} <= 30 THEN 5 + {g} / 1.5::DOUBLE WHEN {g} <= 60 THEN 10 + {g} / 2.0::DOUBLE
   WHEN {g} <= 90 THEN 16 + {g} / 2.5::DOUBLE ELSE 22 + {g} / 3.0::DOUBLE END AS DOUBLE)"""
 _USE = """usage AS (SELECT scenario_id, schedule_id, satellite_id, orbit_number, sum(data_rate_mbps * duration_s / (8 * 1024)) AS storage_gb, sum(power_w) AS power_w,
   max(max_storage_gb) > 0 AND sum(data_rate_mbps * duration_s / (8 * 1024)) > max(max_storage_gb) + 1e-9 AS storage_over,

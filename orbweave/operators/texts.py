@@ -25,14 +25,21 @@ def orbit_numbers(spark, sf_dir: str) -> DataFrame:
     p = Scenarios(spark, sf_dir).raw("part")
     a = (F.col("p_size") * 250 + 6500).cast("double")
     period = exprs.orbital_period_s(a)
-    kind = F.when(a < 8400, "LEO").when(a < 42000, "MEO").otherwise("GEO")
-    return p.select("p_partkey", F.round(period, 4).alias("period_s"), exprs.orbit_number(F.col("p_partkey") * 10 - 50, period).alias("orbit"), kind.alias("class"))
+    kind = F.get(F.array(*map(F.lit, ("LEO", "MEO", "GEO", "HEO"))), (F.col("p_partkey") % 4).cast("int"))
+    return p.select(
+        "p_partkey", F.round(period, 4).alias("period_s"), exprs.orbit_number(F.col("p_partkey") * 10 - 50, period).alias("orbit"), kind.alias("class"),
+        exprs.axis_out_of_range(kind, a).alias("out_of_range"),
+    )
 
 
 def path_groups(spark, sf_dir: str) -> DataFrame:
     """Paths made of suppliers grouped by their template (B25), with safe names."""
     s = Scenarios(spark, sf_dir).raw("supplier")
-    path = F.concat(F.lit("Out/run_"), (F.col("s_suppkey") % 3).cast("string"), F.lit("/seed"), F.col("s_nationkey").cast("string"), F.lit("/x y#1.json"))
+    text = lambda c: F.col(c).cast("string")
+    path = F.concat(
+        F.lit("Out\\\\a//X_p"), text("s_nationkey"), F.lit("_cities_0"), text("s_nationkey"), F.lit("_Seed"), text("s_suppkey"), F.lit("_sf7_S"), text("s_suppkey"),
+        F.when(F.col("s_suppkey") % 2 == 0, ".json").otherwise(""),
+    )
     return s.groupBy(exprs.path_template(path).alias("template"), exprs.safe_file_name(F.col("s_name")).alias("name")).agg(F.count("*").alias("n"))
 
 
@@ -87,15 +94,23 @@ QUERIES = {
     "transition_times": (
         transition_times,
         "SELECT p_partkey, " + ", ".join(_T.format(*[f"{v}::DOUBLE" for v in vs], name.split("-")[0].lower()) for name, vs in exprs.PROFILES.items())
-        + ", CASE WHEN p_partkey % 5 = 0 THEN 11.66::DOUBLE ELSE " + _T.format("1.5::DOUBLE", "2.0::DOUBLE", "2.5::DOUBLE", "3.0::DOUBLE", "x").removesuffix(" AS x")
+        + ", CASE WHEN p_partkey % 5 = 0 THEN 10.0::DOUBLE ELSE " + _T.format("1.5::DOUBLE", "2.0::DOUBLE", "2.5::DOUBLE", "3.0::DOUBLE", "x").removesuffix(" AS x")
         + " END AS mixed FROM (SELECT *, CAST(p_size * 3.7::DOUBLE AS DOUBLE) AS g FROM part)",
     ),
     "orbit_numbers": (
         orbit_numbers,
-        """SELECT p_partkey, round(t, 4) AS period_s, CAST(floor(greatest(p_partkey * 10 - 50, 0) / t) + 1 AS BIGINT) AS orbit, CASE WHEN a < 8400 THEN 'LEO' WHEN a < 42000 THEN 'MEO' ELSE 'GEO' END AS class
+        """SELECT p_partkey, round(t, 4) AS period_s, CAST(floor(greatest(p_partkey * 10 - 50, 0) / t) + 1 AS BIGINT) AS orbit, CASE p_partkey % 4 WHEN 0 THEN 'LEO' WHEN 1 THEN 'MEO' WHEN 2 THEN 'GEO' ELSE 'HEO' END AS class,
+        CASE p_partkey % 4 WHEN 0 THEN NOT a BETWEEN 6378 AND 9000 WHEN 1 THEN NOT (a > 9000 AND a <= 30000) WHEN 2 THEN NOT a BETWEEN 40000 AND 45000 ELSE false END AS out_of_range
         FROM (SELECT *, 2 * pi() * sqrt(pow(a, 3) / 398600.4418::DOUBLE) AS t FROM (SELECT *, CAST(p_size * 250 + 6500 AS DOUBLE) AS a FROM part))""",
     ),
-    "path_groups": (path_groups, """SELECT 'out/run<n>/seed<n>/x y#1.json' AS template, regexp_replace(s_name, '[^A-Za-z0-9._-]+', '_', 'g') AS name, count(*) AS n FROM supplier GROUP BY ALL"""),
+    "path_groups": (
+        path_groups,
+        r"""SELECT lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '_p\d+_', '_p_', 'g'), '_cities_\d+_', '_cities_', 'g'),
+          '_[Ss]eed\d+_', '_seed_', 'g'), '_sf\d+_', '_sf_', 'g'), '_S\d+_', '_S_', 'g'), '_S\d+(\.|$)', '_S\1')) AS template,
+          regexp_replace(s_name, '[^A-Za-z0-9._-]+', '_', 'g') AS name, count(*) AS n
+        FROM (SELECT *, 'Out/a/X_p' || s_nationkey || '_cities_0' || s_nationkey || '_Seed' || s_suppkey || '_sf7_S' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.json' ELSE '' END AS path FROM supplier)
+        GROUP BY ALL""",
+    ),
     "event_labels": (
         event_labels,
         """SELECT event_id, coalesce(nullif(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10, 0), -1) AS k, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_s FROM events""",

@@ -5,13 +5,16 @@ A scenario is a year of shipping, a satellite a supplier, a task an order, and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from orbweave.plans.ordering import numbered
 
 HORIZON_S = 3600
 STEP_S = 10
 ORBIT_S = 600
+#: Order keys that are numbered in one task.
+PART_KEYS = 50_000
 
 
 class Scenarios:
@@ -23,19 +26,25 @@ class Scenarios:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def window_row(self) -> DataFrame:
+        """The observation windows without window_id, for what needs none: nothing has to be numbered."""
+        return self._windows(self.raw("lineitem").withColumn("scenario_id", F.concat(F.lit("S"), F.year("l_shipdate").cast("string"))))
+
     @property
     def task_window(self) -> DataFrame:
         """scenario_id, window_id, satellite_id, task_id, orbit_number, start_s, end_s, step_s, attitude seed, flag."""
-        order = Window.partitionBy("scenario_id").orderBy(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag"
-        )
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag"]
+        rows = self.raw("lineitem").withColumn("scenario_id", F.concat(F.lit("S"), F.year("l_shipdate").cast("string")))
+        rows = numbered(rows, ["scenario_id"], {"__part": F.floor(F.col("l_orderkey") / PART_KEYS)}, order, "window_id")
+        return self._windows(rows, [(F.col("window_id") + 1).alias("window_id")])
+
+    def _windows(self, rows: DataFrame, more: list[Column] | tuple = ()) -> DataFrame:
         start = (F.col("l_partkey") * 7919 + F.col("l_orderkey") * 31) % HORIZON_S
         return (
-            self.raw("lineitem")
-            .withColumn("scenario_id", F.concat(F.lit("S"), F.year("l_shipdate").cast("string")))
-            .select(
+            rows.select(
                 "scenario_id",
-                F.row_number().over(order).cast("long").alias("window_id"),
+                *more,
                 F.col("l_suppkey").alias("satellite_id"),
                 F.col("l_orderkey").alias("task_id"),
                 (F.floor(start / ORBIT_S) + 1).cast("long").alias("orbit_number"),
@@ -93,17 +102,15 @@ class Scenarios:
     def assignment(self) -> DataFrame:
         """Assignments of three schedules for each scenario, made by rule and not all feasible: a task's earliest window,
         its longest one, and its earliest window with flag R."""
-        w = self.task_window.join(self.task, ["scenario_id", "task_id"])
-        picks = None
-        for name, rows, order in (
-            ("earliest", w, ("start_s", "window_id")),
-            ("longest", w, (F.col("start_s") - F.col("end_s"), "window_id")),
-            ("returned", w.where("flag = 'R'"), ("start_s", "window_id")),
-        ):
-            first = F.row_number().over(Window.partitionBy("scenario_id", "task_id").orderBy(*order))
-            part = rows.withColumn("r", first).where("r = 1").withColumn("schedule_id", F.lit(name))
-            picks = part if picks is None else picks.unionByName(part)
-        return picks.select(
+        w = self.task_window
+        row = F.struct("satellite_id", "window_id", "orbit_number", "seed", "start_s")
+        early, late = F.struct("start_s", "window_id"), F.struct(F.col("start_s") - F.col("end_s"), "window_id")
+        picks = w.groupBy("scenario_id", "task_id").agg(  # one pass for the three
+            F.min_by(row, early).alias("earliest"), F.min_by(row, late).alias("longest"), F.min_by(row, F.when(F.col("flag") == "R", early)).alias("returned")
+        )
+        named = F.array(*[F.struct(F.lit(n).alias("schedule_id"), F.col(n).alias("w")) for n in ("earliest", "longest", "returned")])
+        picks = picks.join(self.task, ["scenario_id", "task_id"]).select("scenario_id", "task_id", "priority", "duration_s", F.inline(named)).where("w IS NOT NULL")
+        return picks.select("scenario_id", "task_id", "priority", "duration_s", "schedule_id", "w.*").select(
             "scenario_id", "schedule_id", "task_id", "satellite_id", "window_id", "orbit_number", "priority", "duration_s", "seed",
             F.col("start_s").alias("sat_start_s"), (F.col("start_s") + F.col("duration_s")).alias("sat_end_s"),
         )
