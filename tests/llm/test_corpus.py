@@ -360,6 +360,47 @@ def test_spans_and_redaction_on_odd_rows(odd, empty):
     assert pii.redact(empty).count() == 0
 
 
+def test_planted_secrets_are_found(spark):
+    """Every quoted token of the test documents is found, and hardly anything where there is no digit run at all."""
+    sf = "/root/testdata/sf0.01"
+    got = registry.queries()["op9_weakly_supervised_pii"](spark, sf).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id")["text"]
+    secret = re.compile(r'token = "([0-9a-f]{40})"')
+    planted = found = 0
+    for i, text in docs.items():
+        for m in secret.finditer(text or ""):
+            planted += 1
+            found += f"secret:{m.start(1)}:{m.end(1)}" in got.loc[i, "spans"].split(",")
+    clean = [i for i, text in docs.items() if not re.search(r"[0-9]{3}|@", text or "")]
+    assert planted > 5 and found >= 0.9 * planted and (got.loc[clean, "n_secret"] == 0).mean() > 0.99
+    assert (got["n_spans"] == got["n_secret"] + got[["n_email", "n_ip", "n_card", "n_phone"]].sum(axis=1)).all()
+
+
+def test_shards_are_uniform(spark):
+    """Over many seeds each row meets each shard about equally often."""
+    df = spark.range(12).repartition(3)
+    hits = np.zeros((12, 3))
+    for seed in range(60):
+        for r in sharding.shard_uniform(df, 3, ["id"], seed).collect():
+            hits[r.id, r.shard] += 1
+    assert (hits.sum(0) == 240).all() and (np.abs(hits - 20) < 20).all() and hits.std() < 6
+
+
+def test_discriminant_equals_brute_force():
+    rng = np.random.default_rng(3)
+    x = {k: rng.normal(k, 1 + k, size=(200, quality.FEATURES)) for k in (0, 1)}
+    model = quality.QuadraticDiscriminant({k: len(v) for k, v in x.items()}, {k: v.sum(0) for k, v in x.items()}, {k: v.T @ v for k, v in x.items()})
+    scatter = {k: (v - v.mean(0)).T @ (v - v.mean(0)) for k, v in x.items()}
+    pooled = (scatter[0] + scatter[1]) / 400 + 1e-6 * np.eye(quality.FEATURES)
+    target = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled))
+    log = {}
+    for k, v in x.items():
+        cov = 0.9 * scatter[k] / 200 + 0.1 * target
+        d = x[0] - v.mean(0)
+        log[k] = np.log(0.5) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+    assert np.allclose(model.difference(x[0]), log[1] - log[0])
+
+
 def test_reliabilities_separate_the_classes():
     post = pii.estimate([("1111", 50.0), ("11--", 30.0), ("0000", 60.0), ("-00-", 40.0), ("10--", 5.0)])
     assert min(post["1111"], post["11--"]) > 0.9 and max(post["0000"], post["-00-"]) < 0.1
