@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,10 +31,23 @@ SCHEDULE = (
 RUN_LOG_COLUMNS = 12
 
 
-def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """path of each scenario file under a folder: name starts with scenario_, not below a schedules folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "scenario_*.json").load(folder)
-    return found.select("path").where(~F.col("path").rlike("/schedules?/"))
+def discover(spark: SparkSession, folder: str, rule: str = "analysis") -> DataFrame:
+    """path of each scenario file under a folder (A12). Folders are taken below the given one, so its own name is free.
+
+    analysis: names that start with scenario_ in any case, in no schedules folder; scheduling: the same with the exact
+    prefix Scenario_; training: any name without "schedule", outside the schedules folder at the top.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").load(folder)
+    store = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    top = re.sub(store, "", folder).rstrip("/")
+    parts = F.split(F.substring(F.regexp_replace("path", store, ""), len(top) + 2, 1 << 20), "/")
+    name, folders = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
+    rules = {
+        "analysis": F.lower(name).startswith("scenario_") & ~F.array_contains(folders, "schedules"),
+        "scheduling": name.startswith("Scenario_") & name.endswith(".json") & ~F.array_contains(folders, "schedules"),
+        "training": ~F.lower(name).contains("schedule") & ~F.coalesce(F.get(folders, 0) == "schedules", F.lit(False)),
+    }
+    return found.where(rules[rule]).select("path")
 
 
 def read_scenarios(spark: SparkSession, path) -> dict[str, DataFrame]:
@@ -146,28 +161,67 @@ def format_run_log(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 
 def scenario_documents(tables: dict[str, DataFrame]) -> DataFrame:
-    """file and json: windows grouped again by satellite, task and sensor; station keys only where there are stations."""
+    """file and json of the tables that read_scenarios gives, for it to read again (A13): satellites with their sensors,
+    stations, missions, windows with their angles and contacts, grouped as in a file. A file without rows of a kind has
+    an empty list of it."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(f"{c}_time")
-    w = tables["task_window"].groupBy("file", "satellite_id", F.col("task_id").alias("mission_id"), "sensor_id").agg(
-        F.array_sort(F.collect_list(F.struct(iso("start"), iso("end"), "orbit_number"))).alias("time_windows")
-    )
-    w = w.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("satellite_id", "mission_id", "sensor_id", "time_windows"))).alias("observation_windows"))
-    g = tables["station"].groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("station_id").alias("id")))).alias("ground_stations"))
-    m = tables["task"].groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.col("task_id").alias("id"), "priority", F.struct("duration_s").alias("observation_requirement")))).alias("missions"))
-    rows = tables["scenario"].select("file", "scenario_id", "scenario_type").join(m, "file", "left").join(w, "file", "left").join(g, "file", "left")
-    return rows.select("file", F.to_json(F.struct("scenario_id", "scenario_type", "missions", "observation_windows", "ground_stations")).alias("json"))
+
+    def listed(df: DataFrame, keys: list[str], name: str, *fields) -> DataFrame:
+        return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    ident = F.col("satellite_id").alias("id")
+    sensors = listed(tables["sensor"], ["file", "satellite_id"], "sensors", "sensor_id", F.col("data_rate_mbps").alias("data_rate_Mbps"), F.col("power_w").alias("power_consumption_W"))
+    specs = F.struct(F.col("max_storage_gb").alias("max_data_storage_GB"), F.col("max_power_w").alias("max_power_W")).alias("satellite_specs")
+    satellites = tables["satellite"].join(sensors, ["file", "satellite_id"], "left")
+    tw = tables["task_window"]
+    windows = listed(tw, ["file", "satellite_id", F.col("task_id").alias("mission_id"), "sensor_id"], "time_windows", iso("start"), iso("end"), "orbit_number", F.col("step_s").alias("time_step"), "agile_data", "non_agile_data")
+    contacts = listed(tables["comm_window"], ["file", "satellite_id", F.col("station_id").alias("ground_station_id")], "time_windows", iso("start"), iso("end"))
+    mission = (F.col("task_id").alias("id"), "priority", F.struct("duration_s").alias("observation_requirement"))
+    lists = {
+        "satellites": listed(satellites, ["file"], "satellites", ident, F.col("maneuverability").alias("maneuverability_type"), specs, F.struct("sensors").alias("observation_capability")),
+        "ground_stations": listed(tables["station"], ["file"], "ground_stations", F.col("station_id").alias("id")),
+        "missions": listed(tables["task"], ["file"], "missions", *mission),
+        "observation_windows": listed(windows, ["file"], "observation_windows", "satellite_id", "mission_id", "sensor_id", "time_windows"),
+        "communication_windows": listed(contacts, ["file"], "communication_windows", "satellite_id", "ground_station_id", "time_windows"),
+    }
+    at = F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creation_time")
+    rows = tables["scenario"].select("file", "scenario_id", "scenario_type", F.struct(at, F.col("duration_s").alias("duration"), F.col("step_s").alias("time_step")).alias("metadata"))
+    for name, df in lists.items():
+        rows = rows.join(df, "file", "left").withColumn(name, F.coalesce(name, F.array()))
+    return rows.select("file", F.to_json(F.struct("scenario_id", "scenario_type", "metadata", *lists)).alias("json"))
 
 
 def schedule_documents(assignment: DataFrame, unassigned: DataFrame, metrics: DataFrame) -> DataFrame:
-    """schedule_file and json of each schedule."""
-    body = [c for c in assignment.columns if c not in ("schedule_file", "scenario_id")]
-    a = assignment.groupBy("schedule_file", "scenario_id").agg(F.array_sort(F.collect_list(F.struct(*body))).alias("assignments"))
+    """schedule_file and json of each schedule (A14), also of those that only leave tasks out or have only metrics."""
+    key = ["schedule_file", "scenario_id"]
+    body = [c for c in assignment.columns if c not in key]
+    a = assignment.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*body))).alias("assignments"))
     u = unassigned.groupBy("schedule_file").agg(F.array_sort(F.collect_list("task_id")).alias("unassigned_tasks"))
     m = metrics.groupBy("schedule_file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-    rows = a.join(u, "schedule_file", "left").join(m, "schedule_file", "left")
+    named = a.select(*key).union(unassigned.select(*key)).union(metrics.select(*key)).distinct()
+    rows = named.join(a.drop("scenario_id"), "schedule_file", "left").join(u, "schedule_file", "left").join(m, "schedule_file", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.array()) for c in ("assignments", "unassigned_tasks")})
     return rows.select("schedule_file", F.to_json(F.struct("scenario_id", "assignments", "unassigned_tasks", "metrics")).alias("json"))
 
 
+def write_manifests(trace: DataFrame, state: DataFrame, path: str) -> None:
+    """Replay manifests (A15): JSON lines below path/trace and path/states, a folder for each schedule_file; the states
+    of a schedule are in the order of step within each of its files. Earlier manifests of other schedules stay."""
+    for name, df, order in (("trace", trace, []), ("states", state, ["step"])):  # ranges split a schedule of many states
+        body = [c for c in sorted(df.columns) if c != "schedule_file"]  # keys in order of their names
+        rows = df.select("schedule_file", *order, F.to_json(F.struct(*body)).alias("json")).repartitionByRange("schedule_file", *order).sortWithinPartitions("schedule_file", *order)
+        rows.select("schedule_file", "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("schedule_file").text(f"{path}/{name}")
+
+
+def write_summaries(rows: DataFrame, group: str, path: str) -> None:
+    """CombinedSummary, a row per file, and AveragedSummary, means of the numbers by group with the number of files, as
+    CSV tables with a header (A11)."""
+    numbers = [n for n, t in rows.dtypes if t in ("int", "bigint", "float", "double")]
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/CombinedSummary")
+    means = rows.groupBy(group).agg(F.count("*").alias("files"), *[F.avg(n).alias(n) for n in numbers])
+    means.write.mode("overwrite").option("header", True).csv(f"{path}/AveragedSummary")
+
+
 def new_labels(store: DataFrame, labels: DataFrame) -> DataFrame:
     """labels whose key the store lacks; a key with another payload, in either, is an error when rows are read."""
     both = store.select("key", "payload").union(labels.select("key", "payload"))

@@ -232,6 +232,36 @@ def test_scenario_files(spark, tmp_path):
     assert t["comm_window"].count() == 1
     out = json.loads(files.scenario_documents(t).first()["json"])
     assert out["missions"][0]["id"] == "M1" and len(out["observation_windows"][0]["time_windows"]) == 1
+    (tmp_path / "again").mkdir()
+    (tmp_path / "again" / "scenario_two.json").write_text(json.dumps(out))
+    again = files.read_scenarios(spark, str(tmp_path / "again" / "scenario_two.json"))
+    for name, df in t.items():  # nothing is lost but the name of the file
+        assert df.drop("file").collect() == again[name].drop("file").collect(), name
+
+
+def test_discovery_rules(spark, tmp_path):
+    top = tmp_path / "schedules"  # the given folder itself may have that name
+    for name in ("Scenario_a.json", "scenario_b.JSON", "x/scenario_c.json", "x/schedules/Scenario_d.json", "schedules/Scenario_e.json", "other.json", "one_Schedule.json", "scheduler_f.json", "scenario_g.txt"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("{}")
+    found = lambda rule, folder=top: {r.path.rsplit("/", 1)[1] for r in files.discover(spark, str(folder), rule).collect()}
+    assert found("analysis") == {"Scenario_a.json", "scenario_b.JSON", "scenario_c.json"}
+    assert found("scheduling") == {"Scenario_a.json"} == found("scheduling", f"file://{top}/")
+    assert found("training") == {"Scenario_a.json", "scenario_b.JSON", "scenario_c.json", "Scenario_d.json", "other.json"}
+
+
+def test_manifests_and_summaries(spark, tmp_path):
+    trace = spark.createDataFrame([("s1", 2, "ok"), ("s2", 1, "bad")], "schedule_file string, steps int, a string")
+    state = spark.createDataFrame([("s1", i, i * 0.5) for i in (2, 0, 1)], "schedule_file string, step int, v double")
+    for _ in range(2):
+        files.write_manifests(trace, state, str(tmp_path / "m"))
+    assert sorted(spark.read.text(str(tmp_path / "m/trace")).drop("schedule_file").toPandas()["value"]) == ['{"a":"bad","steps":1}', '{"a":"ok","steps":2}']
+    (part,) = (tmp_path / "m/states/schedule_file=s1").glob("part-*")
+    assert [json.loads(x)["step"] for x in part.read_text().splitlines()] == [0, 1, 2]
+    rows = spark.createDataFrame([("f1", "g", 1.0), ("f2", "g", 4.0), ("f3", None, None)], "file string, grp string, x double")
+    files.write_summaries(rows, "grp", str(tmp_path / "s"))
+    got = {(r.grp, r.files, r.x) for r in spark.read.option("header", True).csv(str(tmp_path / "s/AveragedSummary")).collect()}
+    assert got == {("g", "2", "2.5"), (None, "1", None)} and spark.read.option("header", True).csv(str(tmp_path / "s/CombinedSummary")).count() == 3
 
 
 def test_schedule_files(spark, tmp_path):
@@ -241,6 +271,8 @@ def test_schedule_files(spark, tmp_path):
     assert t["assignment"].first().schedule_file == "s.json"
     doc = json.loads(files.schedule_documents(t["assignment"], t["unassigned"], t["metrics"]).first()["json"])
     assert doc["unassigned_tasks"] == ["M2"] and doc["metrics"] == {"TP": 3.0}
+    doc = json.loads(files.schedule_documents(t["assignment"].limit(0), t["unassigned"], t["metrics"]).first()["json"])  # no assignment: still a schedule
+    assert doc["scenario_id"] == "one" and doc["assignments"] == [] and doc["unassigned_tasks"] == ["M2"]
 
 
 def test_constellation_target_and_trajectory_files(spark, tmp_path):
