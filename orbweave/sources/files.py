@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,10 +12,11 @@ from orbweave.functions.exprs import either, maneuverability, utc_time
 
 _ANGLES = "pitch_angles:array<double>,yaw_angles:array<double>,roll_angles:array<double>,pitch:array<double>,yaw:array<double>,roll:array<double>"
 _FIXED = "pitch_angle:double,yaw_angle:double,roll_angle:double,pitch:double,yaw:double,roll:double"
+_PAYLOAD = "struct<maneuverability_type:string,attributes:struct<maneuverability_type:string>>"
 SCENARIO = (
     "scenario_id string, scenario_type string, metadata struct<creation_time:string,duration:double,time_step:double,name:string>, "
     "satellites array<struct<id:string,maneuverability_type:string,satellite_specs:struct<max_data_storage_GB:double,max_power_W:double>,"
-    "maneuverability_capability:struct<maneuverability_type:string>,"
+    f"maneuverability_capability:struct<maneuverability_type:string,type:string>,attributes:struct<maneuverability_type:string>,payload:{_PAYLOAD},payloads:array<{_PAYLOAD}>,"
     "observation_capability:struct<sensors:array<struct<sensor_id:string,data_rate_Mbps:double,power_consumption_W:double>>>>>, "
     "ground_stations array<struct<id:string>>, "
     "missions array<struct<id:string,priority:double,observation_requirement:struct<duration_s:double>>>, "
@@ -31,6 +32,15 @@ SCHEDULE = (
 RUN_LOG_COLUMNS = 12
 
 
+def _agility(s: Column) -> Column:
+    """Manoeuvrability of a satellite (B03): capability, satellite, attributes, payload, payloads in their order."""
+    own = lambda p: [p["maneuverability_type"], p["attributes"]["maneuverability_type"]]
+    able = s["maneuverability_capability"]
+    listed = F.flatten(F.transform(s["payloads"], lambda p: F.array(*own(p))))
+    telling = F.get(F.filter(listed, lambda v: F.lower(v).contains("non") | F.lower(v).contains("agile")), 0)
+    return maneuverability(F.coalesce(F.nullif(able["maneuverability_type"], F.lit("")), able["type"]), *own(s), *own(s["payload"]), telling)
+
+
 def discover(spark: SparkSession, folder: str, rule: str = "analysis") -> DataFrame:
     """path of each scenario file under a folder (A12). Folders are taken below the given one, so its own name is free.
 
@@ -62,7 +72,7 @@ def read_scenarios(spark: SparkSession, path) -> dict[str, DataFrame]:
     satellite = raw.select("file", "scenario_id", F.explode("satellites").alias("s"))
     sat = satellite.select(
         "file", "scenario_id", F.col("s.id").alias("satellite_id"),
-        maneuverability(F.col("s.maneuverability_type"), F.col("s.maneuverability_capability.maneuverability_type")).alias("maneuverability"),
+        _agility(F.col("s")).alias("maneuverability"),
         either(F.col("s.satellite_specs.max_data_storage_GB"), 0.0).alias("max_storage_gb"), either(F.col("s.satellite_specs.max_power_W"), 0.0).alias("max_power_w"),
     )
     sensor = satellite.select("file", "scenario_id", F.col("s.id").alias("satellite_id"), F.explode("s.observation_capability.sensors").alias("x")).select(
@@ -122,9 +132,12 @@ def read_constellation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """name, lon, lat from a map of pairs (A04). A pair is lon, lat unless only the other order fits the ranges."""
-    text = spark.read.option("wholetext", True).text(path)
-    rows = text.select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("name", "p"))
+    """name, lon, lat from a map of pairs (A04). A pair is lon, lat unless only the other order fits the ranges. A
+    file without a pair is an error when rows are read."""
+    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    pairs = F.from_json("value", "map<string,array<double>>")
+    pairs = F.when(F.coalesce(F.size(pairs), F.lit(0)) < 1, F.raise_error(F.concat(F.lit("no target in "), "file"))).otherwise(pairs)
+    rows = text.select(F.explode(pairs).alias("name", "p"))
     a, b = F.get("p", 0), F.get("p", 1)
     swapped = (F.abs(a) <= 90) & (F.abs(b) > 90)
     return rows.select("name", F.round(F.when(swapped, b).otherwise(a), 6).alias("lon"), F.round(F.when(swapped, a).otherwise(b), 6).alias("lat"))

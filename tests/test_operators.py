@@ -239,6 +239,25 @@ def test_scenario_files(spark, tmp_path):
         assert df.drop("file").collect() == again[name].drop("file").collect(), name
 
 
+def test_manoeuvrability_is_searched_in_six_places(spark, tmp_path):
+    kind = lambda v: {"maneuverability_type": v}
+    cases = [
+        ({}, "agile"), (kind("Non-Agile"), "non_agile"), ({**kind("agile"), "maneuverability_capability": kind("NON agile")}, "non_agile"),
+        ({**kind("non_agile"), "maneuverability_capability": {"maneuverability_type": "", "type": "Agile"}}, "agile"), ({"attributes": kind("non")}, "non_agile"),
+        ({**kind("unknown"), "payload": kind("non-agile")}, "non_agile"), ({"payload": {"attributes": kind("non")}, "payloads": [kind("agile")]}, "non_agile"),
+        ({"payloads": [{}, kind("?"), {"attributes": kind("non")}, kind("agile")]}, "non_agile"), ({"payloads": []}, "agile"),
+    ]
+    (tmp_path / "s.json").write_text(json.dumps({"satellites": [{"id": str(i), **c} for i, (c, _) in enumerate(cases)]}))
+    got = files.read_scenarios(spark, str(tmp_path / "s.json"))["satellite"].collect()
+    assert {int(r.satellite_id): r.maneuverability for r in got} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_targets_must_be_there(spark, tmp_path):
+    (tmp_path / "t.json").write_text("{}")
+    with pytest.raises(Exception, match="no target in"):
+        files.read_targets(spark, str(tmp_path / "t.json")).collect()
+
+
 def test_discovery_rules(spark, tmp_path):
     top = tmp_path / "schedules"  # the given folder itself may have that name
     for name in ("Scenario_a.json", "scenario_b.JSON", "x/scenario_c.json", "x/schedules/Scenario_d.json", "schedules/Scenario_e.json", "other.json", "one_Schedule.json", "scheduler_f.json", "scenario_g.txt"):
