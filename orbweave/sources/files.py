@@ -30,6 +30,13 @@ SCHEDULE = (
     "priority:double,ground_station_id:string,gs_start_time:string,gs_end_time:string>>, metrics map<string,double>"
 )
 RUN_LOG_COLUMNS = 12
+#: What each satellite of a constellation file carries.
+PAYLOAD = {
+    "maneuverability": "agile", "slew_rate": 1.0, "max_pitch_angle": 45.0, "max_yaw_angle": 45.0, "max_roll_angle": 45.0, "stabilization_time": 10.0,
+    "resolution": "medium", "sensor_mode": "visible", "field_of_view": 45.0, "swath_width": 50.0, "min_elevation_angle": 0.0, "data_rate_mbps": 0.1, "power_w": 50.0,
+    "antenna_type": "directional", "antenna_frequency": "x_band", "antenna_data_rate": 100.0, "antenna_power_w": 20.0, "antenna_concurrent": False,
+    "max_storage_gb": 1000.0, "max_operation_time": 4500.0, "max_power_w": 500.0, "max_battery_capacity": 2000.0, "max_fuel": 100.0,
+}
 
 
 def _agility(s: Column) -> Column:
@@ -124,11 +131,14 @@ def read_schedules(spark: SparkSession, path) -> dict[str, DataFrame]:
 
 
 def read_constellation(spark: SparkSession, path: str) -> DataFrame:
-    """satellite_id, orbit class, elements and epoch from a map of lists; unreadable numbers are null."""
+    """satellite_id, orbit class, elements and epoch from a map of lists, and the constant payload; unreadable numbers
+    are null, short lists leave their last columns null (A03)."""
     text = spark.read.option("wholetext", True).text(path)
     rows = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("satellite_id", "v"))
     names = ("semi_major_axis_km", "eccentricity", "inclination", "arg_perigee", "raan", "mean_anomaly")
-    return rows.select("satellite_id", F.get("v", 0).alias("orbit_class"), *[F.get("v", i + 1).try_cast("double").alias(n) for i, n in enumerate(names)], F.get("v", 7).alias("epoch"))
+    elements = [F.get("v", i + 1).try_cast("double").alias(n) for i, n in enumerate(names)]
+    parts = [F.concat("satellite_id", F.lit("_sensor")).alias("sensor_id"), F.concat("satellite_id", F.lit("_x_antenna")).alias("antenna_id")]
+    return rows.select("satellite_id", F.get("v", 0).alias("orbit_class"), *elements, F.get("v", 7).alias("epoch"), *parts, *[F.lit(x).alias(n) for n, x in PAYLOAD.items()])
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:

@@ -300,6 +300,7 @@ def test_constellation_target_and_trajectory_files(spark, tmp_path):
     (tmp_path / "j.jsonl").write_text('{"a": 1}\nbroken\n')
     c = files.read_constellation(spark, str(tmp_path / "c.json")).first()
     assert c.semi_major_axis_km == 7000.0 and c.mean_anomaly is None
+    assert (c.sensor_id, c.data_rate_mbps, c.power_w, c.max_power_w, c.antenna_concurrent) == ("S1_sensor", 0.1, 50.0, 500.0, False)
     got = {r.name: (r.lon, r.lat) for r in files.read_targets(spark, str(tmp_path / "t.json")).collect()}
     assert got == {"P": (95.0, 10.0), "Q": (120.123457, 30.0)}
     j = files.read_trajectories(spark, str(tmp_path / "j.jsonl"), "a int").cache()
