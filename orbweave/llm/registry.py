@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, cover_tree, decontamination, near_dedup, pii, quality, repeats, sharding, toxicity, warc
+from orbweave.llm import bpe, cover_tree, decontamination, near_dedup, pii, quality, repeats, sharding, text_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         decontamination.op8_winnowing_decontamination,
         pii.op9_weakly_supervised_pii,
         near_dedup.op10_odd_sketch_near_dedup,
+        text_rules.op11_quality_rules,
     ]
     return {f.__name__: f for f in found}
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_zip_packaged_warc": warc.OP6_SQL,
         "op8_winnowing_decontamination": decontamination.OP8_SQL,
         "op10_odd_sketch_near_dedup": near_dedup.OP10_SQL,
+        "op11_quality_rules": text_rules.OP11_SQL,
     }
