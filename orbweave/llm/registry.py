@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, cover_tree, decontamination, near_dedup, pii, quality, repeats, sharding, text_rules, toxicity, warc
+from orbweave.llm import bpe, cover_tree, decontamination, near_dedup, pii, quality, repeats, search, sharding, spelling, text_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         pii.op9_weakly_supervised_pii,
         near_dedup.op10_odd_sketch_near_dedup,
         text_rules.op11_quality_rules,
+        spelling.op12_spelling_variant_grouping,
+        search.op13_ranked_lexical_search,
     ]
     return {f.__name__: f for f in found}
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_winnowing_decontamination": decontamination.OP8_SQL,
         "op10_odd_sketch_near_dedup": near_dedup.OP10_SQL,
         "op11_quality_rules": text_rules.OP11_SQL,
+        "op12_spelling_variant_grouping": spelling.OP12_SQL,
+        "op13_ranked_lexical_search": search.OP13_SQL,
     }
