@@ -5,11 +5,11 @@ Each query replays the table as a stream, runs until all of it is read, and retu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.session import new_path
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -17,20 +17,12 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events.parquet*")
 
 
-def _scratch(spark: SparkSession) -> str:
-    from orbweave.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over what is there now and return the rows of its sink.
 
     append writes files. complete keeps the last full result, which the aggregation has made small.
     """
-    spark, base = stream.sparkSession, _scratch(stream.sparkSession)
+    spark, base = stream.sparkSession, new_path(stream.sparkSession, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{base}/rows").start()

@@ -98,6 +98,26 @@ class Scenarios:
             )
         )
 
+    @property
+    def station_pass(self) -> DataFrame:
+        """scenario_id, pass_id, satellite_id, station_id, start_s, end_s: ground contacts of each scenario; one station for
+        each two satellites, five at least."""
+        satellites = self.raw("supplier").agg(F.count("*").alias("n"))
+        start = F.unix_timestamp("ts") % HORIZON_S
+        return (
+            self.raw("events")
+            .where("event_type = 'view'")
+            .crossJoin(F.broadcast(satellites))  # one row
+            .select(
+                F.concat(F.lit("S"), (1995 + F.col("event_id") % 7).cast("string")).alias("scenario_id"),
+                F.col("event_id").alias("pass_id"),
+                (F.col("user_id") % F.col("n")).alias("satellite_id"),
+                F.expr("(event_id div 7) % greatest(5, n div 2)").alias("station_id"),
+                start.alias("start_s"),
+                (start + 30 + F.floor("value") % 60).alias("end_s"),
+            )
+        )
+
     @property
     def assignment(self) -> DataFrame:
         """Assignments of three schedules for each scenario, made by rule and not all feasible: a task's earliest window,
@@ -144,6 +164,11 @@ comm_window AS (
     CAST(epoch(date_trunc('second', ts)) AS BIGINT) % 3600 AS start_s,
     CAST(epoch(date_trunc('second', ts)) AS BIGINT) % 3600 + 30 + CAST(floor(value) AS BIGINT) % 60 AS end_s
   FROM events WHERE event_type = 'view'),
+station_pass AS (
+  SELECT 'S' || CAST(1995 + event_id % 7 AS VARCHAR) AS scenario_id, event_id AS pass_id, user_id % n AS satellite_id, (event_id // 7) % greatest(5, n // 2) AS station_id,
+    CAST(epoch(date_trunc('second', ts)) AS BIGINT) % 3600 AS start_s,
+    CAST(epoch(date_trunc('second', ts)) AS BIGINT) % 3600 + 30 + CAST(floor(value) AS BIGINT) % 60 AS end_s
+  FROM events, (SELECT count(*) AS n FROM supplier) WHERE event_type = 'view'),
 picked AS (
   SELECT w.*, priority, duration_s,
     row_number() OVER (PARTITION BY scenario_id, task_id ORDER BY start_s, window_id) AS r1,

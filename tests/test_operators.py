@@ -127,8 +127,9 @@ def test_gains_add_up_to_the_profit(spark):
 
 
 def test_selection_without_overlaps_is_feasible(spark):
-    got = trajectories.conflict_free_selection(spark, "/root/testdata/sf0.001").select(F.split("id", "/")[1].cast("long").alias("window_id"))
-    w = Scenarios(spark, "/root/testdata/sf0.001").task_window.where("scenario_id = 'S2001'").join(got, "window_id")
+    t = Scenarios(spark, "/root/testdata/sf0.001")
+    got = trajectories.conflict_free_windows(t.task_window.where("scenario_id = 'S2001'"), t.task).select(F.split("id", "/")[1].cast("long").alias("window_id"))
+    w = t.task_window.where("scenario_id = 'S2001'").join(got, "window_id")
     pdf = w.toPandas().sort_values(["satellite_id", "start_s"])
     assert not pdf["task_id"].duplicated().any()
     for _, own in pdf.groupby("satellite_id"):
