@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orbweave.operators import candidates, catalogs, conflicts, datasets, downlinks, grouped, replay, rules, schedules, stations, sweeps, texts, trajectories
+from orbweave.operators import candidates, catalogs, conflicts, datasets, downlinks, grouped, objective, replay, rules, schedules, stations, sweeps, texts, trajectories
 from orbweave.streaming import events
 
-MODULES = (candidates, conflicts, sweeps, schedules, downlinks, stations, trajectories, catalogs, texts, datasets, grouped, replay, rules, events)
+MODULES = (candidates, conflicts, sweeps, schedules, downlinks, stations, trajectories, catalogs, texts, datasets, grouped, replay, objective, rules, events)
 
 
 def queries() -> dict:
