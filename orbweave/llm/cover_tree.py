@@ -6,8 +6,9 @@ lower levels, with halving radii, are built inside each block. Pairs of nodes ar
 distance of their centres is at most the sum of their covering radii and the threshold, both between blocks (which
 pairs meet at all) and inside a pair of blocks. What is left is compared in double precision.
 
-A block pair returns, for each vector with links, how many and one edge to its local component, so links within a
-large group of alike vectors are counted without being listed. Equal vectors are one point with a multiplicity.
+Nodes so close that all their points are linked are counted as a whole, by multiplicity, and joined by one edge. A block
+pair returns, for each vector with links, how many and one edge to its local component; no pair of points outlives the
+slab of products in which it was found. Equal vectors are one point with a multiplicity.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ RADII = (0.5, 0.25, 0.125)
 SLACK = 1e-9
 #: Nodes are compared in single precision with this much room; points in double precision without.
 ROUGH = 1e-5
+#: What a pair of nodes must fall short of the threshold by for all its points to count as linked.
+INSIDE = 1e-6
+#: Products that a worker holds at once.
+SLAB_CELLS = 1_000_000
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -65,8 +70,23 @@ def levels_of(points: np.ndarray) -> np.ndarray:
     return np.array(labels[1:], np.int32)
 
 
+class Level:
+    """Nodes of one level: centre (a member), covering radius, the points [start, end) of each, and the nodes [low, high)
+    of each node of the level above."""
+
+    def __init__(self, points: np.ndarray, parents: np.ndarray, nodes: np.ndarray):
+        count = int(nodes[-1]) + 1
+        self.start, self.end = (np.searchsorted(nodes, np.arange(count), side) for side in ("left", "right"))
+        self.size = self.end - self.start
+        self.centre = self.start
+        away = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", points, points[self.centre[nodes]]), 0))
+        self.radius = np.maximum.reduceat(away, self.start)
+        above = parents[self.start]
+        self.low, self.high = (np.searchsorted(above, np.arange(int(above[-1]) + 1), side) for side in ("left", "right"))
+
+
 class Tree:
-    """Levels of a block: groups of points, with centre (a member) and covering radius, the last level being points."""
+    """Levels of a block, the last one being points."""
 
     def __init__(self, points: np.ndarray, levels: np.ndarray):
         labels = [np.zeros(len(points), np.int64), *levels.astype(np.int64)]
@@ -74,64 +94,132 @@ class Tree:
         self.place = np.argsort(labels[-1], kind="stable")
         self.points = points[self.place]
         self.rough = self.points.astype(np.float32)
-        self.levels: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
         ordered = [x[self.place] for x in labels] + [np.arange(len(points))]
-        for upper, lower in zip(ordered, ordered[1:]):
-            self._add(upper, lower)
-
-    def _add(self, parents: np.ndarray, nodes: np.ndarray) -> None:
-        """A level: first member as centre, covering radius, and which nodes each parent has."""
-        order = np.argsort(nodes, kind="stable")
-        _, first = np.unique(nodes[order], return_index=True)
-        centre = order[first]
-        away = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", self.points, self.points[centre[nodes]]), 0))
-        radius = np.zeros(len(centre))
-        np.maximum.at(radius, nodes, away)
-        parent = parents[centre]
-        by = np.argsort(parent, kind="stable")
-        self.levels.append((centre, radius, np.split(by, np.flatnonzero(np.diff(parent[by])) + 1)))
-
-
-def linked_pairs(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of linked points of two trees (of one tree: each pair once)."""
-    reach = np.sqrt(2 - 2 * cosine) + SLACK
-    pairs = [(0, 0)]
-    for (ca, ra, kids_a), (cb, rb, kids_b) in zip(a.levels, b.levels):
-        wanted = [(kids_a[i], kids_b[j]) for i, j in pairs]
-        left, right = [], []
-        small = [(x, y) for x, y in wanted if len(x) * len(y) <= 64]
-        for x, y in wanted:
-            if len(x) * len(y) > 64:
-                # single points, most of the nodes where nothing is near, have radius 0 and one bound for all
-                for p, zero_p in ((x[ra[x] == 0], True), (x[ra[x] > 0], False)):
-                    for q, zero_q in ((y[rb[y] == 0], True), (y[rb[y] > 0], False)):
-                        if len(p) and len(q):
-                            far = reach if zero_p and zero_q else ra[p][:, None] + rb[q][None, :] + reach
-                            near = np.argwhere(a.rough[ca[p]] @ b.rough[cb[q]].T >= 1 - far * far / 2 - ROUGH)
-                            left.append(p[near[:, 0]])
-                            right.append(q[near[:, 1]])
-        if small:
-            x = np.concatenate([np.repeat(x, len(y)) for x, y in small])
-            y = np.concatenate([np.tile(y, len(x)) for x, y in small])
-            for at in range(0, len(x), 200_000):
-                p, q = x[at : at + 200_000], y[at : at + 200_000]
-                d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.points[ca[p]], b.points[cb[q]]), 0))
-                near = d <= ra[p] + rb[q] + reach
-                left.append(p[near])
-                right.append(q[near])
-        i, j = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-        if same:
-            i, j = i[i <= j], j[i <= j]
-        pairs = list(zip(i.tolist(), j.tolist()))
-        if not pairs:
+        self.levels = [Level(self.points, upper, lower) for upper, lower in zip(ordered, ordered[1:])]
+
+
+def _expanded(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of each two ranges."""
+    width = high_b - low_b
+    size = (high_a - low_a) * width
+    which = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    return low_a[which] + at // width[which], low_b[which] + at % width[which]
+
+
+class Links:
+    """Number of links of each point and connected components, gathered without keeping any pair.
+
+    Points of the second tree come after those of the first; for a tree with itself they are the same points.
+    """
+
+    def __init__(self, a: Tree, b: Tree, cosine: float, same: bool, copies_a: np.ndarray, copies_b: np.ndarray):
+        self.a, self.b, self.cosine, self.same = a, b, cosine, same
+        self.shift = 0 if same else len(a.points)
+        self.copies = (copies_a[a.place] if same else np.concatenate((copies_a[a.place], copies_b[b.place]))).astype(np.float64)
+        self.before = np.concatenate(([0], np.cumsum(self.copies)))
+        self.count = np.zeros(len(self.copies))
+        self.root = np.arange(len(self.copies))
+
+    def _join(self, u: np.ndarray, v: np.ndarray) -> None:
+        u, v = self.root[u], self.root[v]
+        apart = u != v
+        if apart.any():
+            pair = np.unique(np.minimum(u, v)[apart] * len(self.root) + np.maximum(u, v)[apart])
+            self.root = _local_roots(len(self.root), pair // len(self.root), pair % len(self.root))[self.root]
+
+    def points(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Linked points; of one tree, each pair once and none with itself."""
+        j = j + self.shift
+        self.count += np.bincount(i, self.copies[j], len(self.count)) + np.bincount(j, self.copies[i], len(self.count))
+        self._join(i, j)
+
+    def nodes(self, x: Level, p: np.ndarray, y: Level, q: np.ndarray) -> None:
+        """Nodes all of whose points are linked; of one tree, a node with itself too."""
+        ranges = []
+        for start, end, other_start, other_end in ((x.start[p], x.end[p], y.start[q] + self.shift, y.end[q] + self.shift), (y.start[q] + self.shift, y.end[q] + self.shift, x.start[p], x.end[p])):
+            ranges.append((start, end, self.before[other_end] - self.before[other_start]))
+        own = (p == q) if self.same else np.zeros(len(p), bool)
+        steps = np.zeros(len(self.count) + 1)
+        for k, (start, end, weight) in enumerate(ranges):
+            weight = np.where(own, 0 if k else weight, weight)  # a node with itself counts once
+            np.add.at(steps, start, weight)
+            np.add.at(steps, end, -weight)
+        self.count += np.cumsum(steps)[:-1]
+        inner = np.zeros(len(self.count) + 1)
+        np.add.at(inner, x.start[p[own]], 1.0)
+        np.add.at(inner, x.end[p[own]], -1.0)
+        self.count -= np.cumsum(inner)[:-1] * self.copies  # no point links with itself
+        joined = np.zeros(len(self.count) + 1, np.int64)  # 1 where a point is with the one before it
+        for start, end, _ in ranges:
+            np.add.at(joined, np.minimum(start + 1, end), 1)
+            np.add.at(joined, end, -1)
+        inside = np.flatnonzero(np.cumsum(joined)[:-1] > 0)
+        self._join(inside, inside - 1)
+        self._join(x.start[p], y.start[q] + self.shift)
+
+
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Double-precision products of rows, a bounded number of copied rows at a time."""
+    out, rows = np.empty(len(i)), max(1, SLAB_CELLS * 4 // max(1, x.shape[1]))
+    for at in range(0, len(i), rows):
+        out[at : at + rows] = np.einsum("ij,ij->i", x[i[at : at + rows]], y[j[at : at + rows]])
+    return out
+
+
+def links_between(a: Tree, b: Tree, cosine: float, same: bool, copies_a: np.ndarray, copies_b: np.ndarray) -> Links:
+    """Links between two trees (of one tree: with itself).
+
+    Node pairs are followed down while they may hold a link. A pair whose points are linked whatever they are, by distance
+    and radii, is counted at once; so are pairs of single points. What is carried are arrays of node pairs; products are
+    taken in slabs of SLAB_CELLS, so memory does not grow with the links.
+    """
+    found = Links(a, b, cosine, same, copies_a, copies_b)
+    edge = float(np.sqrt(2 - 2 * cosine))
+    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for x, y in zip(a.levels, b.levels):
+        carried: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle(p: np.ndarray, q: np.ndarray, rough: np.ndarray | None = None, x=x, y=y, carried=carried) -> None:
+            if same:
+                keep = p <= q
+                p, q, rough = p[keep], q[keep], rough[keep] if rough is not None else None
+            single = (x.size[p] == 1) & (y.size[q] == 1)
+            if same:
+                p, q, rough, single = (v[~single | (p != q)] if v is not None else None for v in (p, q, rough, single))
+            u, v = p[single], q[single]
+            linked = rough[single] >= cosine + ROUGH if rough is not None else np.zeros(len(u), bool)
+            open_ = np.flatnonzero(~linked)
+            linked[open_] = _dots(a.points, x.centre[u[open_]], b.points, y.centre[v[open_]]) >= cosine
+            found.points(x.centre[u[linked]], y.centre[v[linked]])
+            p, q = p[~single], q[~single]
+            if len(p):
+                far = np.sqrt(np.maximum(2 - 2 * _dots(a.points, x.centre[p], b.points, y.centre[q]), 0))
+                room = x.radius[p] + y.radius[q]
+                sure = far + room <= edge - INSIDE
+                if sure.any():
+                    found.nodes(x, p[sure], y, q[sure])
+                left = ~sure & (far <= room + edge + SLACK)
+                carried.append((p[left], q[left]))
+
+        size = (x.high[i] - x.low[i]) * (y.high[j] - y.low[j])
+        small, large = np.flatnonzero(size <= 64), np.flatnonzero(size > 64)
+        for at in range(0, len(small), SLAB_CELLS // 64):
+            k = small[at : at + SLAB_CELLS // 64]
+            settle(*_expanded(x.low[i[k]], x.high[i[k]], y.low[j[k]], y.high[j[k]]))
+        for k in large:
+            lo, hi = y.low[j[k]], y.high[j[k]]
+            rows = max(1, SLAB_CELLS // (hi - lo))
+            for first in range(x.low[i[k]], x.high[i[k]], rows):
+                last = min(first + rows, x.high[i[k]])
+                rough = a.rough[x.centre[first:last]] @ b.rough[y.centre[lo:hi]].T
+                far = (x.radius[first:last, None] + y.radius[None, lo:hi] + edge + SLACK).astype(np.float32)
+                p, q = np.nonzero(rough >= 1 - far * far / 2 - ROUGH)
+                settle(p + first, q + lo, rough[p, q])
+        i, j = (np.concatenate(v) if carried else np.empty(0, np.int64) for v in (zip(*carried) if carried else ((), ())))
+        if not len(i):
             break
-    if not pairs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = (np.array(v) for v in zip(*pairs))
-    if same:
-        i, j = i[i != j], j[i != j]
-    exact = np.einsum("ij,ij->i", a.points[i], b.points[j]) >= cosine
-    return a.place[i[exact]], b.place[j[exact]]
+    return found
 
 
 def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -207,7 +295,7 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     else:
         plan = F.broadcast(spark.createDataFrame(plan, "dim int, cell long, base int, parts int"))
         block = F.col("base") + F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-        placed_blocks = placed.join(plan, ["dim", "cell"]).select(block.alias("block"), "dim", "key", "body", "copies")
+        placed_blocks = placed.join(plan, ["dim", "cell"]).select(block.alias("block"), F.col("base").alias("unit"), "dim", "key", "body", "copies")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.frombuffer(b"".join(pdf["body"]), np.float64).reshape(len(pdf), -1))
@@ -215,7 +303,7 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
         return pd.DataFrame(
             {
-                "block": pdf["block"][:1], "dim": pdf["dim"][:1], "keys": [b"".join(pdf["key"])], "body": [b"".join(pdf["body"])],
+                "block": pdf["block"][:1], "unit": pdf["unit"][:1], "dim": pdf["dim"][:1], "keys": [b"".join(pdf["key"])], "body": [b"".join(pdf["body"])],
                 "levels": [levels_of(x).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "centre": [centre.tolist()], "radius": [radius],
             }
         )
@@ -236,31 +324,32 @@ def cosine_links(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                 same = r.i == r.j
                 a = tree(r.i, r.dim, r.body_i, r.levels_i)
                 b = a if same else tree(r.j, r.dim, r.body_j, r.levels_j)
-                i, j = linked_pairs(a, b, cosine, same)
-                n = 0 if same else len(a.points)
-                keys = np.frombuffer(r.keys_i if same else r.keys_i + r.keys_j, "S1").reshape(-1, 16)
-                copies = np.frombuffer(r.copies_i if same else r.copies_i + r.copies_j, np.int64)
-                links = np.zeros(len(copies), np.int64)
-                np.add.at(links, i, copies[j + n])
-                np.add.at(links, j + n, copies[i])
-                some = np.flatnonzero(links)
-                root = _local_roots(len(copies), i, j + n)
+                found = links_between(a, b, cosine, same, np.frombuffer(r.copies_i, np.int64), np.frombuffer(r.copies_j, np.int64))
+                order = a.place if same else np.concatenate((a.place, b.place + len(a.points)))  # of the keys, in tree order
+                keys = np.frombuffer(r.keys_i if same else r.keys_i + r.keys_j, "S1").reshape(-1, 16)[order]
+                some = np.flatnonzero(found.count)
                 yield pd.DataFrame(
-                    {"key": [keys[k].tobytes() for k in some], "links": links[some], "other": [keys[root[k]].tobytes() for k in some]}
+                    {"key": [keys[k].tobytes() for k in some], "links": np.rint(found.count[some]).astype(np.int64), "other": [keys[found.root[k]].tobytes() for k in some]}
                 )
 
     if placed_blocks is not None:
         packed = placed_blocks.groupBy("block", "dim").applyInPandas(
-            pack, "block int, dim int, keys binary, body binary, levels binary, copies binary, centre array<double>, radius double"
+            pack, "block int, unit int, dim int, keys binary, body binary, levels binary, copies binary, centre array<double>, radius double"
         )
         packed = cut(packed, "blocks")
-        outline = packed.select("block", "dim", "centre", "radius")
+        outline = packed.select("block", "unit", "dim", "centre", "radius")
+        edge = float(np.sqrt(2 - 2 * cosine)) + SLACK
+        apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda c, d: (c - d) * (c - d)), F.lit(0.0), lambda sum_, c: sum_ + c))
+        # the blocks of a cell make a unit, or the cells of a block: MAX_PIVOTS a dim at most, so these pairs are bounded
+        middle = outline.groupBy("dim", "unit").agg(F.min_by("centre", "block").alias("middle"))
+        units = outline.join(middle, ["dim", "unit"]).groupBy("dim", "unit").agg(F.first("middle").alias("middle"), F.max(apart("middle", "centre") + F.col("radius")).alias("reach"))
+        other = units.select("dim", *[F.col(c).alias(f"{c}_j") for c in ("unit", "middle", "reach")])
+        near = units.join(other, "dim").where((F.col("unit") <= F.col("unit_j")) & (apart("middle", "middle_j") <= F.col("reach") + F.col("reach_j") + edge)).select("unit", "unit_j")
         far = outline.select(*[F.col(c).alias(f"{c}_j") for c in outline.columns])
-        gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre_j", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
         pairs = (
-            outline.withColumn("block_j", F.explode(F.sequence(F.col("block"), F.lit(blocks))))  # children of the root's pair with itself
-            .join(far, "block_j")
-            .where((F.col("dim") == F.col("dim_j")) & (gap <= F.col("radius") + F.col("radius_j") + float(np.sqrt(2 - 2 * cosine)) + SLACK))
+            near.join(outline, "unit")
+            .join(far, "unit_j")
+            .where((F.col("block") <= F.col("block_j")) & (apart("centre", "centre_j") <= F.col("radius") + F.col("radius_j") + edge))
             .select(F.col("block").alias("i"), F.col("block_j").alias("j"))
         )
         bodies = packed.select("block", "dim", "keys", "body", "levels", "copies")

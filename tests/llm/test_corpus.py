@@ -4,6 +4,8 @@ import hashlib
 import io
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -291,6 +293,52 @@ def test_cosine_links_equal_brute_force(spark):
     assert cover_tree.cosine_links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.01, 0.05, 0.2, 0.5])
+def test_links_between_trees_equal_all_products(spread, monkeypatch):
+    monkeypatch.setattr(cover_tree, "SLAB_CELLS", 700)
+    rng = np.random.default_rng(int(spread * 100))
+    for _ in range(6):
+        dim, base = int(rng.integers(3, 12)), rng.normal(size=(5, 12))
+        some = lambda n, dim=dim, base=base: cover_tree.unit(base[rng.integers(0, 5, n), :dim] + spread * rng.normal(size=(n, dim)))
+        u, v = some(150), some(90)
+        many_u, many_v = rng.integers(1, 4, 150), rng.integers(1, 4, 90)
+        a, b = (cover_tree.Tree(x, cover_tree.levels_of(x)) for x in (u, v))
+        for same in (True, False):
+            w, many_w, other = (u, many_u, a) if same else (v, many_v, b)
+            found = cover_tree.links_between(a, other, 0.9, same, many_u, many_w)
+            near = u @ w.T >= 0.9
+            if same:
+                np.fill_diagonal(near, False)
+            order = a.place if same else np.concatenate((a.place, b.place + len(u)))
+            want = near @ many_w if same else np.concatenate((near @ many_v, near.T @ many_u))
+            assert np.rint(found.count).tolist() == want[order].tolist()
+            pairs = np.argwhere(near) + [0, 0 if same else len(u)]
+            roots = np.empty(len(order), np.int64)
+            roots[order] = order[found.root]
+            assert len(set(zip(roots, _components(len(order), pairs.tolist())))) == len(set(roots)) == len(set(_components(len(order), pairs.tolist())))
+
+
+def test_a_crowded_block_is_counted_in_little_memory():
+    """3,000 distinct vectors that are nearly all linked with each other, and a chain that leads away from them."""
+    script = """
+import resource, numpy as np
+from orbweave.llm import cover_tree as c
+rng = np.random.default_rng(0)
+near = c.unit(np.eye(64)[0] + 0.3 / 8 * rng.normal(size=(3000, 64)))
+angles = 0.4 * np.arange(1, 8)
+chain = np.outer(np.cos(angles), np.eye(64)[0]) + np.outer(np.sin(angles), np.eye(64)[1])
+x = np.vstack((near, chain))
+tree, one = c.Tree(x, c.levels_of(x)), np.ones(len(x), np.int64)
+found = c.links_between(tree, tree, 0.9, True, one, one)
+want = (x @ x.T >= 0.9).sum(1) - 1
+assert (np.rint(found.count) == want[tree.place]).all() and len(set(found.root)) == 1 and want.sum() > 7_000_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1_000
+
+
 # ---------------------------------------------------------------- decontamination
 
 
