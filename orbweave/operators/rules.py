@@ -113,7 +113,7 @@ def candidate_vectors(spark, sf_dir: str) -> DataFrame:
 def window_desirability(spark, sf_dir: str) -> DataFrame:
     """Static worth, finish and busy time of each task's earliest placement in each window, with a downlink in every second one."""
     t = Scenarios(spark, sf_dir)
-    total = F.broadcast(t.task.groupBy("scenario_id").agg(F.sum("priority").alias("possible")))  # a row a scenario
+    total = t.task.groupBy("scenario_id").agg(F.sum("priority").alias("possible"))
     w = t.task_window.join(t.task, ["scenario_id", "task_id"]).join(total, "scenario_id")
     end = F.col("start_s") + F.col("duration_s")
     gs0 = F.when(F.col("window_id") % 2 == 0, end + 30)
@@ -290,10 +290,9 @@ QUERIES = {
     ),
     "random_downlinks": (
         random_downlinks,
-        BOUND + """ SELECT scenario_id, satellite_id, count(*) AS placements, CAST(sum(b + s * (CAST('0x' || substr(md5(scenario_id || '|' || window_id || '|' || comm_id || '|' || i), 1, 8) AS BIGINT) & 2147483647) % 1000 // 999) AS BIGINT) AS start_sum
+        BOUND + """ SELECT scenario_id, satellite_id, count(*) AS placements, CAST(sum(b + s * ((CAST('0x' || substr(md5(scenario_id || '|' || window_id || '|' || comm_id || '|' || i), 1, 8) AS BIGINT) & 2147483647) % 1000) // 999) AS BIGINT) AS start_sum
         FROM (SELECT *, unnest([1, 2]) AS i FROM (SELECT w.scenario_id, w.window_id, w.satellite_id, comm_id, greatest(m.start_s, w.start_s + duration_s) AS b, m.end_s - greatest(m.start_s, w.start_s + duration_s) - duration_s AS s
-          FROM task_window w JOIN task USING (scenario_id, task_id) JOIN comm_window m USING (satellite_id) WHERE w.end_s - w.start_s >= duration_s) WHERE s >= 0) GROUP BY ALL""".replace(
-            "b + s * (CAST", "b + s * ((CAST").replace("% 1000 // 999", "% 1000) // 999"),
+          FROM task_window w JOIN task USING (scenario_id, task_id) JOIN comm_window m USING (satellite_id) WHERE w.end_s - w.start_s >= duration_s) WHERE s >= 0) GROUP BY ALL""",
     ),
     "shuffled_candidates": (
         shuffled_candidates,

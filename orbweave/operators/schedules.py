@@ -175,9 +175,8 @@ def satellite_load(spark, sf_dir):
 def gantt_bars(spark, sf_dir):
     """Extent of each schedule and its bars as shares of it."""
     a, _, _ = _all(spark, sf_dir)
-    w = Window.partitionBy(*KEY)
-    low, high = F.min("sat_start_s").over(w), F.max("sat_end_s").over(w)
-    span = F.greatest(high - low, F.lit(1))
+    a = a.join(a.groupBy(*KEY).agg(F.min("sat_start_s").alias("low"), F.max("sat_end_s").alias("high")), KEY)
+    low, span = F.col("low"), F.greatest(F.col("high") - F.col("low"), F.lit(1))
     return a.select(
         *KEY, "task_id", F.round(100 * (F.col("sat_start_s") - low) / span, 4).alias("offset_pct"), F.round(100 * (F.col("sat_end_s") - F.col("sat_start_s")) / span, 4).alias("width_pct")
     )
