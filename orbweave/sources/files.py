@@ -165,7 +165,7 @@ def write_trajectories(df: DataFrame, path: str) -> None:
 
 def read_run_log(spark: SparkSession, path: str, scenario: str) -> DataFrame:
     """Rows of a piped run log that name <scenario>.json, columns by the header row, numbers where they read."""
-    lines = spark.read.text(path).select(F.transform(F.split("value", r"\|"), F.trim).alias("c"), F.col("value").alias("line"))
+    lines = spark.read.text(path).select(F.transform(F.split("value", r"\|"), lambda x: F.trim(x)).alias("c"), F.col("value").alias("line"))
     rows = lines.where((F.size("c") >= RUN_LOG_COLUMNS) & F.col("line").contains(f"{scenario}.json"))
     header = [x.strip() for x in (lines.where(F.array_contains("c", "Algorithm")).select("line").first() or [""])[0].split("|")]
     number = {"TP", "TCR", "BD", "TM", "RT", "RV"}

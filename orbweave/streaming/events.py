@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from orbweave.session import new_path
 
@@ -20,7 +21,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query over what is there now and return the rows of its sink.
 
-    append writes files. complete keeps the last full result, which the aggregation has made small.
+    append writes files. complete keeps the last full result; it is for session windows alone, which know no updates.
     """
     spark, base = stream.sparkSession, new_path(stream.sparkSession, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
@@ -32,6 +33,93 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows that batches have written below path, with batch, the number of each."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(f"{path}/batch=*")
+
+
+def last_of_keys(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each of keys: the one that is last by order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("m")).select(*keys, *[f"m.{c}" for c in rest])
+
+
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run an aggregation in update mode and return the last row of each of keys. A batch writes the rows that it changed
+    under its own number, so a batch that runs again replaces what it wrote, and closed windows are never written again."""
+    spark, base = stream.sparkSession, new_path(stream.sparkSession, "stream")
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")).start().awaitTermination()
+    return last_of_keys(_batches(spark, f"{base}/rows", stream.schema), keys, ["batch"]).drop("batch")
+
+
+class Upsert:
+    """Merge by key of a stream without state in memory (S02): a batch keeps its own last row of each key under its number;
+    readers take the last of all batches. run() goes on from the checkpoint; a batch that runs again replaces its rows."""
+
+    def __init__(self, spark: SparkSession, keys: list[str], order: list[str], base: str | None = None):
+        self.spark, self.keys, self.order = spark, keys, order
+        self.base = base or new_path(spark, "upsert")
+
+    def keep(self, df: DataFrame, batch: int) -> None:
+        last_of_keys(df, self.keys, self.order).write.mode("overwrite").parquet(f"{self.base}/rows/batch={batch}")
+
+    def run(self, stream: DataFrame) -> None:
+        writer = stream.writeStream.option("checkpointLocation", f"{self.base}/state").trigger(availableNow=True)
+        writer.foreachBatch(self.keep).start().awaitTermination()
+
+    def rows(self, schema) -> DataFrame:
+        return last_of_keys(_batches(self.spark, f"{self.base}/rows", schema).drop("batch"), self.keys, self.order)
+
+
+class LateRows:
+    """Counts by window of a stream, and of the rows that came too late for it.
+
+    The watermark of a batch is the latest time of the batches before it less delay_s. A row is late if its window has
+    ended by then. Counts, late counts and the latest time are written under the batch's number, so that a batch that runs
+    again gives the same. Rows without a time are counted as late, in a window without a start.
+    """
+
+    def __init__(self, spark: SparkSession, delay_s: int, size_s: int, base: str | None = None):
+        self.spark, self.delay_s, self.size_s = spark, delay_s, size_s
+        self.base = base or new_path(spark, "late")
+
+    def watermark(self, batch: int) -> int | None:
+        if batch == 0:
+            return None
+        marks = self.spark.read.schema("at_s long, batch long").option("basePath", f"{self.base}/marks").parquet(*[f"{self.base}/marks/batch={b}" for b in range(batch)])
+        latest = marks.agg(F.max("at_s")).first()[0]
+        return None if latest is None else latest - self.delay_s
+
+    def keep(self, df: DataFrame, batch: int) -> None:
+        at = F.unix_timestamp("ts")
+        df.agg(F.max(at).alias("at_s")).write.mode("overwrite").parquet(f"{self.base}/marks/batch={batch}")
+        mark = self.watermark(batch)
+        start = F.floor(at / self.size_s) * self.size_s
+        late = F.lit(False) if mark is None else start + self.size_s <= mark
+        rows = df.select(start.cast("long").alias("start_s"), F.coalesce(late, F.lit(True)).alias("late"))
+        counts = rows.groupBy("start_s").agg(F.count_if(~F.col("late")).alias("n"), F.count_if("late").alias("late"))
+        counts.write.mode("overwrite").parquet(f"{self.base}/rows/batch={batch}")
+
+    def run(self, stream: DataFrame) -> None:
+        writer = stream.writeStream.option("checkpointLocation", f"{self.base}/state").trigger(availableNow=True)
+        writer.foreachBatch(self.keep).start().awaitTermination()
+
+    def counts(self) -> DataFrame:
+        schema = StructType([StructField(c, LongType()) for c in ("start_s", "n", "late")])
+        return _batches(self.spark, f"{self.base}/rows", schema).groupBy("start_s").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
+def in_parts(spark: SparkSession, sf_dir: str, parts: int, run) -> None:
+    """Call run with the event stream once for each part of the events: the part's files come to the source, and the stream
+    goes on from where it ended. Parts go by event_id, so that times of later parts lie before those of earlier ones."""
+    source = new_path(spark, "source")
+    events = spark.read.schema(SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    for part in range(parts):
+        events.where(F.pmod("event_id", F.lit(parts)) == part).write.mode("append").parquet(source)
+        run(spark.readStream.schema(SCHEMA).parquet(source))
+
+
 def occupancy(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
     """Rows of each resource in tumbling or sliding windows."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
@@ -42,12 +130,12 @@ def occupancy(events: DataFrame, size: str, slide: str | None = None) -> DataFra
 
 def stream_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows of a day, kept as a complete result."""
-    return run_to_table(occupancy(event_stream(spark, sf_dir).withWatermark("ts", "40 days"), "1 day"), "complete")
+    return run_updates(occupancy(event_stream(spark, sf_dir).withWatermark("ts", "40 days"), "1 day"), ["start_s", "resource_id"])
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a day that start every six hours."""
-    return run_to_table(occupancy(event_stream(spark, sf_dir).withWatermark("ts", "40 days"), "1 day", "6 hours"), "complete")
+    return run_updates(occupancy(event_stream(spark, sf_dir).withWatermark("ts", "40 days"), "1 day", "6 hours"), ["start_s", "resource_id"])
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,18 +155,21 @@ def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "no_key": F.count_if(F.get_json_object("props", "$.k").isNull()),
     }
     g = e.groupBy(F.window("ts", "1 day").alias("w")).agg(*[c.alias(n) for n, c in checks.items()])
-    return run_to_table(g.select(F.unix_timestamp("w.start").alias("start_s"), *checks), "complete")
+    return run_updates(g.select(F.unix_timestamp("w.start").alias("start_s"), *checks), ["start_s"])
 
 
 def stream_last_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each user and type, as batches come in."""
-    g = event_stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("m"))
-    return run_to_table(g.select("user_id", "event_type", "m.event_id", "m.value"), "complete")
+    """The last event of each user and type, merged by key in four restarts of the stream."""
+    last = Upsert(spark, ["user_id", "event_type"], ["ts", "event_id"])
+    in_parts(spark, sf_dir, 4, last.run)
+    return last.rows(spark.createDataFrame([], SCHEMA).schema).select("user_id", "event_type", "event_id", "value")
 
 
-def late_rows(events: DataFrame, delay: str, size: str) -> DataFrame:
-    """Append-mode counts by window; rows later than the watermark are dropped."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n")).select(F.unix_timestamp("w.start").alias("start_s"), "n")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day that came in time and too late by ten days, in four restarts of the stream."""
+    late = LateRows(spark, 10 * 86_400, 86_400)
+    in_parts(spark, sf_dir, 4, late.run)
+    return late.counts()
 
 
 _DAY = "CAST(epoch(date_trunc('day', ts)) AS BIGINT)"
@@ -101,5 +192,12 @@ QUERIES = {
         f"""SELECT {_DAY} AS start_s, count(*) AS "rows", count(*) FILTER (event_type IS NULL) AS no_type, count(*) FILTER (NOT value BETWEEN 0 AND 100) AS out_of_range,
         count(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS no_key FROM events GROUP BY ALL""",
     ),
+    "stream_late_rows": (
+        stream_late_rows,
+        """WITH e AS (SELECT event_id % 4 AS part, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_s FROM events),
+        m AS (SELECT part, max(max(at_s)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 864000 AS mark FROM e GROUP BY part)
+        SELECT at_s // 86400 * 86400 AS start_s, count(*) FILTER (mark IS NULL OR (at_s // 86400 + 1) * 86400 > mark) AS n, count(*) FILTER ((at_s // 86400 + 1) * 86400 <= mark) AS late
+        FROM e JOIN m USING (part) GROUP BY ALL""",
+    ),
     "stream_last_row": (stream_last_row, "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL"),
 }
