@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.functions.exprs import stable_seed
+from orbweave.plans.ordering import ranked
 from orbweave.tables import Scenarios
 
 
@@ -34,13 +35,13 @@ def actions(t: Scenarios) -> DataFrame:
 def hash_rank(df: DataFrame, keys: list[str], *parts) -> DataFrame:
     """rank of each row within keys by the SHA-256 of its parts, then by the parts themselves."""
     text = F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.sha2(text, 256), text)))
+    return ranked(df, keys, {"hash": F.sha2(text, 256), "text": text}, "rank")
 
 
 def rank_bins(df: DataFrame, keys: list[str], column: str, tie: str, bins: int) -> DataFrame:
     """bin of each row: floor(index * bins / n) of its place by column."""
-    order = Window.partitionBy(*keys).orderBy(column, tie)
-    return df.withColumn("bin", F.floor((F.row_number().over(order) - 1) * bins / F.count("*").over(Window.partitionBy(*keys))).cast("long"))
+    out = ranked(df, keys, {"column": F.col(column), "tie": F.col(tie)}, "__rank", "__count")
+    return out.withColumn("bin", F.floor((F.col("__rank") - 1) * bins / F.col("__count")).cast("long")).drop("__rank", "__count")
 
 
 def balanced_quotas(categories: DataFrame, key: str, total: int) -> DataFrame:
@@ -54,7 +55,7 @@ def state_selection(spark, sf_dir: str) -> DataFrame:
     """Per instance the first states by content hash, as many as its quota."""
     s = states(Scenarios(spark, sf_dir))
     quota = balanced_quotas(s.select("instance").distinct(), "instance", 100)
-    return hash_rank(s, ["instance"], "state_hash").join(F.broadcast(quota), "instance").where("rank <= quota").select("instance", "state_id", "rank")
+    return hash_rank(s, ["instance"], "state_hash").join(quota, "instance").where("rank <= quota").select("instance", "state_id", F.col("rank").cast("int").alias("rank"))
 
 
 def query_prefix(spark, sf_dir: str) -> DataFrame:
@@ -74,8 +75,8 @@ def candidate_bins(spark, sf_dir: str) -> DataFrame:
     n = actions(t).groupBy("state_id").agg(F.count("*").alias("candidates"))
     s = states(t).join(n, "state_id")
     s = rank_bins(s, ["instance"], "candidates", "state_id", 4)
-    last = F.max("step").over(Window.partitionBy("instance"))
-    s = s.withColumn("time_bin", F.floor(F.col("step") * 3 / (last + 1)).cast("long"))
+    s = s.join(s.groupBy("instance").agg(F.max("step").alias("last")), "instance")
+    s = s.withColumn("time_bin", F.floor(F.col("step") * 3 / (F.col("last") + 1)).cast("long"))
     return s.groupBy("instance", "bin", "time_bin").agg(F.count("*").alias("states"))
 
 
@@ -129,8 +130,8 @@ def hash_split(spark, sf_dir: str) -> DataFrame:
     s = states(Scenarios(spark, sf_dir))
     text = F.concat_ws("|", F.lit("split"), F.col("state_id").cast("string"))
     bucket = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100
-    place = F.row_number().over(Window.partitionBy("instance").orderBy(F.md5(text), "state_id"))
-    n = F.count("*").over(Window.partitionBy("instance"))
+    s = ranked(s, ["instance"], {"hash": F.md5(text), "id": F.col("state_id")}, "place", "n")
+    place, n = F.col("place"), F.col("n")
     exact = F.when(place <= F.floor(n * 6 / 10), "train").when(place <= F.floor(n * 8 / 10), "dev").otherwise("test")
     return s.select("state_id", stable_seed(text).alias("seed"), F.when(bucket < 10, "held_out").otherwise("train").alias("split"), exact.alias("exact_split"))
 

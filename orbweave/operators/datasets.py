@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.operators.trajectories import steps
+from orbweave.plans.ordering import ranked
 from orbweave.tables import BOUND, HORIZON_S, Scenarios
 
 
@@ -76,10 +77,9 @@ def sub_scenarios(spark, sf_dir: str) -> DataFrame:
 
 def capacity_modes(spark, sf_dir: str) -> DataFrame:
     """Capacity factors 0.6, 1 and 1.6 dealt to thirds of the satellites in hash order."""
-    s = Scenarios(spark, sf_dir).satellite
-    place = F.row_number().over(Window.orderBy(F.md5(F.col("satellite_id").cast("string")), "satellite_id")) - 1  # a constellation
-    n = F.count("*").over(Window.partitionBy())
-    third = F.floor(n / 3)
+    s = Scenarios(spark, sf_dir).satellite.withColumn("constellation", F.lit(1))
+    s = ranked(s, ["constellation"], {"hash": F.md5(F.col("satellite_id").cast("string")), "id": F.col("satellite_id")}, "rank", "n")
+    place, third = F.col("rank") - 1, F.floor(F.col("n") / 3)
     factor = F.when(place < third, 0.6).when(place < 2 * third, 1.0).otherwise(1.6)
     return s.select("satellite_id", factor.alias("factor"), F.round(F.col("max_power_w") * factor, 4).alias("max_power_w"))
 
