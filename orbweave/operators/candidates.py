@@ -27,15 +27,16 @@ def attitude(seed: Column, satellite: Column, k: Column) -> list[Column]:
 def enumerate_candidates(task_window: DataFrame, task: DataFrame, satellite: DataFrame, cap: int | None = None) -> DataFrame:
     """One row per window and offset that fits (C02, C03, C04): k, c_start_s, c_end_s, place_rank within the task.
 
-    Agile satellites may start at every step, others only at the middle one. Order within a task: windows by time and
+    Agile satellites, and those that the satellite table does not have, may start at every step, others only at the middle
+    one; without a known sensor volume and power are 0 (B13). Order within a task: windows by time and
     identity, then first, centre and last offset, then ascending; cap keeps that many of each task before any
     feasibility test.
     """
     max_k = F.floor((F.col("end_s") - F.col("start_s") - F.col("duration_s") + 1e-9) / F.col("step_s")).cast("long")
     rows = (
         task_window.join(task, ["scenario_id", "task_id"])
-        .join(satellite.select("satellite_id", "maneuverability", "data_rate_mbps", "power_w"), "satellite_id")
-        .withColumn("max_k", max_k)
+        .join(satellite.select("satellite_id", "maneuverability", "data_rate_mbps", "power_w"), "satellite_id", "left")
+        .withColumns({"max_k": max_k, "maneuverability": F.coalesce("maneuverability", F.lit("agile"))})
         .where("max_k >= 0")
     )
     middle = F.bround(F.col("max_k") / 2).cast("long")
@@ -90,8 +91,8 @@ CANDIDATE_SQL = """candidate AS (
 def candidate_counts(t: Scenarios) -> DataFrame:
     """scenario_id, satellite_id, task_id, n, gb: candidates of each window and their volume, counted without listing them."""
     max_k = F.floor((F.col("end_s") - F.col("start_s") - F.col("duration_s") + 1e-9) / F.col("step_s")).cast("long")
-    n = F.when(F.col("maneuverability") == "non_agile", F.lit(1).cast("long")).otherwise(max_k + 1)
-    rows = t.window_row.join(t.task, ["scenario_id", "task_id"]).join(t.satellite, "satellite_id").where(max_k >= 0)
+    n = F.when(F.col("maneuverability").eqNullSafe("non_agile"), F.lit(1).cast("long")).otherwise(max_k + 1)
+    rows = t.window_row.join(t.task, ["scenario_id", "task_id"]).join(t.satellite, "satellite_id", "left").where(max_k >= 0)
     return rows.select("scenario_id", "satellite_id", "task_id", n.alias("n"), (n * data_volume_gb(F.col("data_rate_mbps"), F.col("duration_s"))).alias("gb"))
 
 

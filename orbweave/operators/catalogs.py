@@ -118,7 +118,7 @@ def selection_marginals(spark, sf_dir: str) -> DataFrame:
 
 
 def candidate_set_hashes(spark, sf_dir: str) -> DataFrame:
-    """Hash of each state's actions by value and of their set, whatever the order."""
+    """Hash of each state's actions by value and of their set, whatever the order."""
     a = actions(Scenarios(spark, sf_dir))
     g = a.groupBy("state_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("q"), "action"))).alias("by_value"), F.array_sort(F.collect_list("action")).alias("members"))
     ordered = F.array_join(F.transform("by_value", lambda x: x["action"]), ",")
@@ -136,6 +136,24 @@ def hash_split(spark, sf_dir: str) -> DataFrame:
     return s.select("state_id", stable_seed(text).alias("seed"), F.when(bucket < 10, "held_out").otherwise("train").alias("split"), exact.alias("exact_split"))
 
 
+def digest_tree(rows: DataFrame, keys: list[str], text) -> DataFrame:
+    """Per keys: rows and digest, the SHA-256 of the set of texts with their repeats, whatever their order. Texts are hashed,
+    dealt by three digits of that, and the sorted hashes of each part are hashed, then those of the parts: no list is longer
+    than a 4,096th of the rows of its keys, or 4,096 parts. Null texts count as empty."""
+    leaf = F.sha2(F.coalesce(text, F.lit("")), 256)
+    parts = rows.select(*keys, leaf.alias("leaf")).groupBy(*keys, F.substring("leaf", 1, 3).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("leaf")).alias("x"))
+    parts = parts.select(*keys, "n", F.concat("part", F.sha2(F.array_join("x", ","), 256)).alias("h"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("digest"))
+
+
+def results_hash(spark, sf_dir: str) -> DataFrame:
+    """Hash of each instance's results (E28): states, actions and values alone, once for each state and action, so that the
+    order of runs, repeated runs and what came from a cache make no difference."""
+    t = Scenarios(spark, sf_dir)
+    a = actions(t).join(states(t).select("state_id", "instance", "state_hash"), "state_id")
+    return digest_tree(a, ["instance"], F.concat_ws("|", "state_hash", "action", F.round(F.col("q") * 100).cast("long").cast("string")))
+
+
 def result_integrity(spark, sf_dir: str) -> DataFrame:
     """Planned queries against results by key: planned without result, result without plan, repeated results."""
     t = Scenarios(spark, sf_dir)
@@ -152,6 +170,12 @@ a AS (SELECT l_orderkey AS state_id, l_partkey || '|' || l_suppkey AS action, ma
 _Q = """, z AS (SELECT state_id, count(*) AS n, min(q) AS q_min, quantile_cont(q, 0.1) AS p1, quantile_cont(q, 0.5) AS p5, quantile_cont(q, 0.9) AS p9, max(q) AS q_max FROM a GROUP BY state_id)"""
 
 QUERIES = {
+    "results_hash": (
+        results_hash,
+        _S + """, l AS (SELECT instance, sha256(state_hash || '|' || action || '|' || CAST(round(q * 100) AS BIGINT)) AS leaf FROM a JOIN s USING (state_id)),
+        p AS (SELECT instance, count(*) AS n, substr(leaf, 1, 3) || sha256(string_agg(leaf, ',' ORDER BY leaf)) AS h FROM l GROUP BY instance, substr(leaf, 1, 3))
+        SELECT instance, CAST(sum(n) AS BIGINT) AS "rows", sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM p GROUP BY instance""",
+    ),
     "state_selection": (
         state_selection,
         _S + """, c AS (SELECT instance, row_number() OVER (ORDER BY instance) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT instance FROM s))
