@@ -5,7 +5,11 @@ BANDS bands of ROWS samples make candidate buckets, and the samples are folded i
 parities, so that the number of ones in the XOR of two sketches tells how many samples differ. Equal sets are one node from the start. Nodes of a bucket are not paired
 with all others: neighbours in random orders of each (salted) bucket meet, each node keeps its best partners by
 sketch, the full sets confirm them, and components are joined; nodes that are not in their bucket's main component
-then are compared with every node of another component there, so no candidate link is lost.
+then are compared with every node of another component there. A link is lost only where two sets share no band or
+their sketches miss by far (chances beside BANDS and ESTIMATE_FLOOR).
+
+Shingles are 64-bit hashes: that two of a pair's shingles are taken for one has a chance of about n squared in 2e19, n
+being the shingles of both, 1e-10 for two texts of 20,000 words; it moves their similarity by one shingle.
 """
 
 from __future__ import annotations

@@ -277,4 +277,6 @@ def merge(spans: DataFrame) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of all `documents`: null and empty texts have no bytes and lose none, long ones count whole, equal
+    rows lose all that is long enough, an empty table gives no rows, and other columns are not read."""
     return removed_spans(table(spark, sf_dir, "documents"))

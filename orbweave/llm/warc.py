@@ -223,13 +223,15 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
 
     Null pages are empty payloads; repeated ids and rows each get a record, and long pages are stored whole. Columns
     but page_id, url and html are not read. No pages give no packages. The rows are kept in the shared folder, so a
-    later stage never writes packages again.
+    later stage never writes packages again, and name the packages of the attempts that were committed; those of others
+    (lost executors, speculation) lie beside them and are never read.
     """
     def run(frames):
-        task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+        # an attempt has packages of its own: another one may see its rows in another order and cut them elsewhere
+        task, k, held, size = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}", 0, [], 0
 
         def flush():
-            uri = f"{folder}/pages-{task:06d}-{k:05d}.wacz"
+            uri = f"{folder}/pages-{task}-{k:05d}.wacz"
             return pd.DataFrame({"package": [uri], "n_records": [len(held)], "n_bytes": [write_package(uri, held)]})
 
         for pdf in frames:

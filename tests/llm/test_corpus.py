@@ -468,6 +468,15 @@ def test_packages_round_trip(spark, tmp_path):
     assert warc.read_records(warc.read_index(warc.write_packages(none, f"file://{tmp_path}/q"))).count() == 0
 
 
+def test_packages_of_other_attempts_are_not_read(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "x" * (50 + i)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first, second = (warc.write_packages(pages.repartition(n), f"file://{tmp_path}/p") for n in (2, 3))
+    assert not {r.package for r in first.collect()} & {r.package for r in second.collect()}
+    for packages in (first, second):
+        assert sorted(int(r.page_id) for r in warc.read_records(warc.read_index(packages)).collect()) == list(range(40))
+
+
 def test_zip64_directories_are_read(tmp_path, monkeypatch):
     import zipfile
 
