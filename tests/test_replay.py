@@ -39,26 +39,26 @@ def _pose(seed, sat, k):
 @pytest.mark.parametrize("algorithm", ["profit_first", "timeliness_first", "completion_first"])
 def test_static_heuristics_equal_the_loop(spark, algorithm):
     t = Scenarios(spark, SF)
-    got = {(r.scenario_id, r.task_id): r.window_id for r in replay.first_fit_selection(t, algorithm).collect()}
+    got = {(r.scenario_id, r.task_id): (r.window_id, r.k) for r in replay.first_fit_selection(t, algorithm).collect()}
     rows = t.task_window.join(t.task, ["scenario_id", "task_id"]).join(t.satellite, "satellite_id").collect()
     tasks = {}
     for r in rows:
-        if r.end_s - r.start_s >= r.duration_s:
-            tasks.setdefault((r.scenario_id, r.task_id), []).append(r)
+        last = (r.end_s - r.start_s - r.duration_s) // 10
+        for k in [round(last / 2)] if r.maneuverability == "non_agile" and last >= 0 else range(last + 1):
+            tasks.setdefault((r.scenario_id, r.task_id), []).append((r, r.start_s + 10 * k, k))
     order = {
-        "profit_first": lambda k: (-tasks[k][0].priority, k[1]),
-        "timeliness_first": lambda k: (min(r.start_s for r in tasks[k]), -tasks[k][0].priority, k[1]),
-        "completion_first": lambda k: (len(tasks[k]), k[1]),
+        "profit_first": lambda t: (-tasks[t][0][0].priority, t[1]),
+        "timeliness_first": lambda t: (min(s for _, s, _ in tasks[t]), -tasks[t][0][0].priority, t[1]),
+        "completion_first": lambda t: (len(tasks[t]), t[1]),
     }[algorithm]
-    pick = (lambda r: (r.start_s + r.duration_s, r.window_id)) if algorithm == "profit_first" else (lambda r: (r.start_s, r.window_id))
     busy, want = {}, {}
-    for k in sorted(tasks, key=order):
-        for r in sorted(tasks[k], key=pick):
-            me = (r.start_s, r.task_id, r.start_s + r.duration_s, _pose(r.seed, r.satellite_id, 0), _pose(r.seed, r.satellite_id, r.duration_s // 10))
+    for task in sorted(tasks, key=order):  # of one task the earliest end is the earliest start
+        for r, start, k in sorted(tasks[task], key=lambda x: (x[1], x[0].window_id, x[2])):
+            me = (start, r.task_id, start + r.duration_s, _pose(r.seed, r.satellite_id, k), _pose(r.seed, r.satellite_id, k + r.duration_s // 10))
             held = busy.setdefault((r.scenario_id, r.satellite_id), [])
             if all((lambda a, b: a[2] + _turn(r.maneuverability, a[4], b[3]) <= b[0])(*sorted((me, x), key=lambda v: v[:2])) for x in held):
                 held.append(me)
-                want[k] = r.window_id
+                want[task] = (r.window_id, k)
                 break
     assert got == want
 
