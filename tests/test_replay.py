@@ -39,7 +39,7 @@ def _pose(seed, sat, k):
 @pytest.mark.parametrize("algorithm", ["profit_first", "timeliness_first", "completion_first"])
 def test_static_heuristics_equal_the_loop(spark, algorithm):
     t = Scenarios(spark, SF)
-    got = {(r.scenario_id, r.task_id): (r.window_id, r.k) for r in replay.first_fit_selection(t, algorithm).collect()}
+    got = {(r.scenario_id, r.task_id): (r.window_id, r.k) for r in replay.first_fit_selections(t, [algorithm]).collect()}
     rows = t.task_window.join(t.task, ["scenario_id", "task_id"]).join(t.satellite, "satellite_id").collect()
     tasks = {}
     for r in rows:
