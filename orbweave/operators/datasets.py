@@ -1,4 +1,4 @@
-"""Building and judging training sets: validation, prediction quality, sub-samples, capacities, names."""
+"""Building training sets: coverage, sub-samples, capacities, names."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orbweave.operators.trajectories import steps
 from orbweave.plans.ordering import ranked
 from orbweave.tables import BOUND, HORIZON_S, Scenarios
 
@@ -17,36 +16,6 @@ def normalised_weights(weights: list[Column]) -> list[Column]:
     return [F.when(total > 0, w / total).otherwise(1.0 if i == 0 else 0.0) for i, w in enumerate(weights)]
 
 
-def trajectory_validation(spark, sf_dir: str) -> DataFrame:
-    """Counters of the rules that steps must keep, and the verdict."""
-    t = Scenarios(spark, sf_dir)
-    s = steps(t.assignment, t.task)
-    skip = F.col("window_id").isNull()
-    rules = {
-        "rows": F.count("*"),
-        "skips": F.count_if(skip),
-        "skip_with_gain": F.count_if(skip & (F.col("delta") != 0)),
-        "choice_without_gain": F.count_if(~skip & (F.col("delta") <= 0)),
-        "bad_step": F.count_if(F.col("step") < 0),
-    }
-    bad = F.col("skip_with_gain") + F.col("choice_without_gain") + F.col("bad_step")
-    return s.groupBy("schedule_id").agg(*[c.alias(n) for n, c in rules.items()]).withColumn("verdict", F.when(bad == 0, "PASS").otherwise("FAIL"))
-
-
-def prediction_quality(spark, sf_dir: str) -> DataFrame:
-    """Share of tasks whose earliest window is first, or among the first five, by a hash score; mean set size."""
-    w = Scenarios(spark, sf_dir).task_window
-    by = Window.partitionBy("scenario_id", "task_id")
-    text = F.concat_ws("|", "scenario_id", F.col("window_id").cast("string"))
-    r = w.select(
-        "scenario_id", "task_id",
-        (F.row_number().over(by.orderBy("start_s", "window_id")) == 1).alias("label"), F.row_number().over(by.orderBy(F.md5(text), "window_id")).alias("place"),
-    )
-    per = r.groupBy("scenario_id", "task_id").agg(F.max(F.when(F.col("label"), F.col("place"))).alias("place"), F.count("*").alias("n"))
-    share = lambda k: F.round(F.avg((F.col("place") <= k).cast("double")), 6)
-    return per.groupBy("scenario_id").agg(share(1).alias("top1"), share(2).alias("top2"), F.round(F.avg("n"), 6).alias("mean_size"))
-
-
 def tail_coverage(spark, sf_dir: str) -> DataFrame:
     """Mean over states of the smaller of the shares of its best and of its worst quarter that its first two actions by hash cover."""
     from orbweave.operators.catalogs import actions
@@ -105,19 +74,6 @@ def scenario_grid(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "trajectory_validation": (
-        trajectory_validation,
-        BOUND + """ SELECT schedule_id, count(*) AS "rows", count(*) FILTER (window_id IS NULL) AS skips, CAST(0 AS BIGINT) AS skip_with_gain, count(*) FILTER (window_id IS NOT NULL AND priority <= 0) AS choice_without_gain,
-        CAST(0 AS BIGINT) AS bad_step, CASE WHEN count(*) FILTER (window_id IS NOT NULL AND priority <= 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict
-        FROM (SELECT DISTINCT scenario_id, schedule_id FROM assignment) JOIN task USING (scenario_id) LEFT JOIN (SELECT scenario_id, schedule_id, task_id, window_id FROM assignment) USING (scenario_id, schedule_id, task_id) GROUP BY schedule_id""",
-    ),
-    "prediction_quality": (
-        prediction_quality,
-        BOUND + """, r AS (SELECT scenario_id, task_id, row_number() OVER (PARTITION BY scenario_id, task_id ORDER BY start_s, window_id) = 1 AS label,
-          row_number() OVER (PARTITION BY scenario_id, task_id ORDER BY md5(scenario_id || '|' || window_id), window_id) AS place FROM task_window)
-        SELECT scenario_id, round(avg(CASE WHEN p <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(CASE WHEN p <= 2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top2, round(avg(n), 6) AS mean_size
-        FROM (SELECT scenario_id, task_id, max(place) FILTER (label) AS p, count(*) AS n FROM r GROUP BY ALL) GROUP BY scenario_id""",
-    ),
     "tail_coverage": (
         tail_coverage,
         """WITH a AS (SELECT l_orderkey AS s, l_partkey || '|' || l_suppkey AS action, max(l_extendedprice) AS q FROM lineitem GROUP BY ALL),

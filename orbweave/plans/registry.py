@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orbweave.operators import candidates, catalogs, conflicts, datasets, downlinks, grouped, lookahead, objective, replay, resources, rules, schedules, stations, sweeps, texts, trajectories
+from orbweave.operators import candidates, catalogs, conflicts, datasets, downlinks, grouped, lookahead, objective, replay, resources, rules, schedules, stations, sweeps, texts, trajectories, validation
 from orbweave.streaming import events
 
-MODULES = (candidates, conflicts, sweeps, schedules, downlinks, stations, trajectories, catalogs, texts, datasets, grouped, replay, objective, lookahead, resources, rules, events)
+MODULES = (candidates, conflicts, sweeps, schedules, downlinks, stations, trajectories, catalogs, texts, datasets, grouped, replay, objective, lookahead, resources, rules, validation, events)
 
 
 def queries() -> dict:
