@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.functions import exprs
+from orbweave.functions.attitudes import NAMES, attitude_of
 from orbweave.sources.files import format_run_log
 from orbweave.tables import BOUND, Scenarios
 
@@ -90,6 +91,30 @@ def visible_samples_attitude(spark, sf_dir: str) -> DataFrame:
 
 _T = "round(CASE WHEN g <= 10 THEN 11.66 WHEN g <= 30 THEN 5 + g / {0} WHEN g <= 60 THEN 10 + g / {1} WHEN g <= 90 THEN 16 + g / {2} ELSE 22 + g / {3} END, 4) AS {4}"
 
+def angle_containers(task_window: DataFrame) -> DataFrame:
+    """scenario_id, window_id and angles, a JSON text: the attitudes of a window's two to four samples in one of eight shapes,
+    by window_id; the last shape is one that holds no attitude."""
+    ks = F.sequence(F.lit(0).cast("long"), F.col("seed") % 3 + 1)
+    at = lambda k: [(F.col("seed") + 3 * k) % 91 - 45, (7 * F.col("satellite_id") + 2 * k) % 91 - 45, k]
+    record = lambda names, k: F.struct(*[v.alias(n) for n, v in zip(names, at(k))])
+    samples = [F.transform(ks, lambda k: at(k)[0]), F.transform(ks, lambda k: at(k)[1]), ks]
+    listed = lambda names: F.struct(*[c.alias(n) for n, c in zip(names, samples)])
+    zero = F.lit(0).cast("long")
+    shapes = [
+        F.transform(ks, lambda k: record(NAMES[0], k)), F.transform(ks, lambda k: record(NAMES[1], k)), F.transform(ks, lambda k: F.array(*at(k))), listed(NAMES[0]), listed(NAMES[1]),
+        record(NAMES[2], zero), F.struct(F.lit("x").alias("source"), record(NAMES[0], zero).alias("attitude")), record(NAMES[0], zero),
+    ]
+    text = F.coalesce(*[F.when(F.col("window_id") % len(shapes) == i, F.to_json(c)) for i, c in enumerate(shapes)])
+    return task_window.select("scenario_id", "window_id", text.alias("angles"))
+
+
+def container_attitudes(spark, sf_dir: str) -> DataFrame:
+    """Roll, pitch and yaw at the first and last sample of each window's container."""
+    rows = angle_containers(Scenarios(spark, sf_dir).task_window).withColumn("v", F.try_parse_json("angles"))
+    rows = rows.withColumns({"first": attitude_of(F.col("v")), "last": attitude_of(F.col("v"), last=True)})
+    return rows.select("scenario_id", "window_id", *[F.col(f"{e}.{n}").cast("long").alias(f"{n}_{e}") for e in ("first", "last") for n in NAMES[0]])
+
+
 QUERIES = {
     "transition_times": (
         transition_times,
@@ -135,4 +160,10 @@ QUERIES = {
         BOUND + """ SELECT scenario_id, window_id, (seed + 3 * i) % 91 - 45 AS roll, CAST(least(n - i + 1, 3) AS INTEGER) AS rest FROM (
         SELECT *, least(greatest(CAST(round_even((end_s - start_s) / 2 / step_s, 0) AS BIGINT), 0), (end_s - start_s) // step_s) AS i, (end_s - start_s) // step_s AS n FROM task_window)""",
     ),
+    "container_attitudes": (
+        container_attitudes,
+        BOUND + """, s AS (SELECT *, window_id % 8 AS shape, CASE WHEN window_id % 8 < 5 THEN seed % 3 + 1 ELSE 0 END AS k FROM task_window)
+        SELECT scenario_id, window_id, CASE WHEN shape < 7 THEN seed % 91 - 45 END AS roll_first, CASE WHEN shape < 7 THEN (7 * satellite_id) % 91 - 45 END AS pitch_first, CASE WHEN shape < 7 THEN 0 END AS yaw_first,
+          CASE WHEN shape < 7 THEN (seed + 3 * k) % 91 - 45 END AS roll_last, CASE WHEN shape < 7 THEN (7 * satellite_id + 2 * k) % 91 - 45 END AS pitch_last, CASE WHEN shape < 7 THEN k END AS yaw_last FROM s""",
+    ),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orbweave.functions.attitudes import attitude_of
 from orbweave.functions.exprs import either, maneuverability, utc_time
 
 _ANGLES = "pitch_angles:array<double>,yaw_angles:array<double>,roll_angles:array<double>,pitch:array<double>,yaw:array<double>,roll:array<double>"
@@ -27,7 +28,7 @@ SCENARIO = (
 SCHEDULE = (
     "scenario_id string, start_time string, end_time string, unassigned_tasks array<string>, assignments array<struct<task_id:string,"
     "satellite_id:string,sat_start_time:string,sat_end_time:string,sensor_id:string,orbit_number:int,data_volume_GB:double,power_cost_W:double,"
-    "priority:double,ground_station_id:string,gs_start_time:string,gs_end_time:string>>, metrics map<string,double>"
+    "priority:double,ground_station_id:string,gs_start_time:string,gs_end_time:string,sat_angles:variant>>, metrics map<string,double>"
 )
 RUN_LOG_COLUMNS = 12
 #: What each satellite of a constellation file carries.
@@ -121,13 +122,19 @@ def read_scenarios(spark: SparkSession, path) -> dict[str, DataFrame]:
 
 
 def read_schedules(spark: SparkSession, path) -> dict[str, DataFrame]:
-    """assignment, unassigned and metrics of schedule files, each with schedule_file."""
+    """assignment, unassigned, metrics and attitude of schedule files, each with schedule_file (A02); attitude has the first
+    and last one of each assignment that gives its angles, whatever their container (B14)."""
     raw = spark.read.schema(SCHEDULE).option("multiLine", True).json(path).withColumn("schedule_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     a = raw.select("schedule_file", "scenario_id", F.explode("assignments").alias("a")).select("schedule_file", "scenario_id", "a.*")
     for c in ("sat_start_time", "sat_end_time", "gs_start_time", "gs_end_time"):
         a = a.withColumn(c, utc_time(F.col(c)))
+    angles = F.col("sat_angles")
+    attitude = a.where("sat_angles IS NOT NULL").select(
+        "schedule_file", "scenario_id", "task_id", "satellite_id", "sat_start_time", attitude_of(angles).alias("first"), attitude_of(angles, last=True).alias("last")
+    )
+    a = a.drop("sat_angles")
     unassigned = raw.select("schedule_file", "scenario_id", F.explode("unassigned_tasks").alias("task_id"))
-    return {"assignment": a, "unassigned": unassigned, "metrics": raw.select("schedule_file", "scenario_id", F.explode("metrics").alias("metric", "value"))}
+    return {"assignment": a, "unassigned": unassigned, "metrics": raw.select("schedule_file", "scenario_id", F.explode("metrics").alias("metric", "value")), "attitude": attitude}
 
 
 def read_constellation(spark: SparkSession, path: str) -> DataFrame:
