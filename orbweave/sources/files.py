@@ -140,7 +140,7 @@ def read_schedules(spark: SparkSession, path) -> dict[str, DataFrame]:
 def read_constellation(spark: SparkSession, path: str) -> DataFrame:
     """satellite_id, orbit class, elements and epoch from a map of lists, and the constant payload; unreadable numbers
     are null, short lists leave their last columns null (A03)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("satellite_id", "v"))
     names = ("semi_major_axis_km", "eccentricity", "inclination", "arg_perigee", "raan", "mean_anomaly")
     elements = [F.get("v", i + 1).try_cast("double").alias(n) for i, n in enumerate(names)]
@@ -151,7 +151,7 @@ def read_constellation(spark: SparkSession, path: str) -> DataFrame:
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
     """name, lon, lat from a map of pairs (A04). A pair is lon, lat unless only the other order fits the ranges. A
     file without a pair is an error when rows are read."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     pairs = F.from_json("value", "map<string,array<double>>")
     pairs = F.when(F.coalesce(F.size(pairs), F.lit(0)) < 1, F.raise_error(F.concat(F.lit("no target in "), "file"))).otherwise(pairs)
     rows = text.select(F.explode(pairs).alias("name", "p"))

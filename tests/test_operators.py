@@ -304,6 +304,11 @@ def test_constellation_target_and_trajectory_files(spark, tmp_path):
     assert (c.sensor_id, c.data_rate_mbps, c.power_w, c.max_power_w, c.antenna_concurrent) == ("S1_sensor", 0.1, 50.0, 500.0, False)
     got = {r.name: (r.lon, r.lat) for r in files.read_targets(spark, str(tmp_path / "t.json")).collect()}
     assert got == {"P": (95.0, 10.0), "Q": (120.123457, 30.0)}
+    for name in ("c", "t"):  # written over several lines, as people do
+        body = json.loads((tmp_path / f"{name}.json").read_text())
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
+    assert files.read_constellation(spark, str(tmp_path / "c.json")).collect() == [c]
+    assert {r.name: (r.lon, r.lat) for r in files.read_targets(spark, str(tmp_path / "t.json")).collect()} == got
     j = files.read_trajectories(spark, str(tmp_path / "j.jsonl"), "a int").cache()
     assert j.where("corrupt IS NOT NULL").count() == 1
 
