@@ -25,3 +25,23 @@ def test_station_contention_takes_all_contacts_of_a_station(spark):
     """Stations are not cut by scenario, and all of them are the five of the events."""
     got = registry.queries()["station_contention"](spark, "/root/testdata/sf0.001")
     assert sorted(got.columns) == ["overlap_s", "pairs", "station_id"] and {r.station_id for r in got.collect()} <= set(range(5))
+
+
+def test_conflicts_are_counted_without_listing_pairs_of_tasks(spark):
+    """The plan of the query carries no pair of tasks that merely share a satellite, and its counts are those of a loop."""
+    rows = [("S", s, t, n) for s, t, n in [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 4), (3, 1, 1), (3, 2, 1), (1, 3, 5), (2, 4, 1), (3, 4, 2)]]
+    df = spark.createDataFrame(rows, "scenario_id string, satellite_id long, task_id long, n long")
+    got = [(r.task_i, r.task_j, r.satellites, r.comparable) for r in conflicts.shared_satellites(df).collect()]
+    assert sorted(got) == [(1, 2, 3, 11), (1, 4, 2, 3), (2, 4, 2, 6)]
+
+
+def test_candidates_in_conflict_equal_those_of_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from orbweave.operators.candidates import candidates_of
+    from orbweave.tables import Scenarios
+
+    t = Scenarios(spark, "/root/testdata/sf0.001")
+    listed = conflicts.candidate_conflicts(candidates_of(t)).groupBy("scenario_id", F.least("task_id", "r_task_id").alias("i"), F.greatest("task_id", "r_task_id").alias("j")).count()
+    got = conflicts.conflicts_of_tasks(conflicts.places_of(t)).select("scenario_id", "task_i", "task_j", "conflicts")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.collect()))
