@@ -27,8 +27,8 @@ def test_station_contention_takes_all_contacts_of_a_station(spark):
     assert sorted(got.columns) == ["overlap_s", "pairs", "station_id"] and {r.station_id for r in got.collect()} <= set(range(5))
 
 
-def test_conflicts_are_counted_without_listing_pairs_of_tasks(spark):
-    """The plan of the query carries no pair of tasks that merely share a satellite, and its counts are those of a loop."""
+def test_tasks_with_two_common_satellites_are_listed_once(spark):
+    """Pairs of tasks that share only one satellite, or none, are not listed; all common satellites are summed."""
     rows = [("S", s, t, n) for s, t, n in [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 4), (3, 1, 1), (3, 2, 1), (1, 3, 5), (2, 4, 1), (3, 4, 2)]]
     df = spark.createDataFrame(rows, "scenario_id string, satellite_id long, task_id long, n long")
     got = [(r.task_i, r.task_j, r.satellites, r.comparable) for r in conflicts.shared_satellites(df).collect()]
