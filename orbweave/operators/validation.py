@@ -92,7 +92,7 @@ def trajectory_rows(t: Scenarios) -> DataFrame:
     place among them. In the schedule `returned` some steps, by their number, are damaged in one of twelve ways."""
     one = F.array_sort(F.collect_list(F.struct("start_s", "window_id", "end_s")))
     w = t.task_window.groupBy("scenario_id", "task_id").agg(one.alias("ws"))
-    s = steps(t.assignment, t.task).join(w, ["scenario_id", "task_id"])
+    s = steps(t.kept_assignment, t.task).join(w, ["scenario_id", "task_id"])
     d = F.when(F.col("schedule_id") == "returned", F.col("step") % 64).otherwise(0)
     real = lambda c: F.col(c).cast("double")
     state = F.array(real("priority"), real("duration_s"), real("step"))
@@ -154,7 +154,7 @@ def _score(start: Column, length: Column) -> Column:
 def prediction_quality(spark, sf_dir: str) -> DataFrame:
     """How well a linear score of start and length predicts the bound schedules; the skip has a score of its own."""
     t = Scenarios(spark, sf_dir)
-    s = steps(t.assignment, t.task).select(*KEY, "task_id", "step", F.col("window_id").alias("expert_id"))
+    s = steps(t.kept_assignment, t.task).select(*KEY, "task_id", "step", F.col("window_id").alias("expert_id"))
     w = t.task_window.select("scenario_id", "task_id", "window_id", "start_s", "end_s")
     w = w.withColumn("action", F.row_number().over(Window.partitionBy("scenario_id", "task_id").orderBy("start_s", "window_id")))
     c = s.join(w, ["scenario_id", "task_id"])
