@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.exprs import action_key, attitude_change, transition_s
 from orbweave.operators.objective import WEIGHTS, lacking_at, loads_before, replay_steps, scenario_totals, score, with_states
-from orbweave.operators.replay import choices, replayed, with_blockers, with_steps
+from orbweave.operators.replay import blocked_choices, replayed
 from orbweave.operators.schedules import KEY
 from orbweave.session import new_path, written
 from orbweave.tables import HORIZON_S, Scenarios
@@ -99,9 +99,9 @@ def action_values(states: DataFrame, blocked: DataFrame, horizon: int, weights:
 def horizon_values(spark, sf_dir: str, horizon: int = 2) -> DataFrame:
     """Values of all actions of all replayed states at a horizon of two, in millionths of the objective."""
     t = Scenarios(spark, sf_dir)
-    rows = written(with_steps(t, replayed(t)), new_path(spark, "replayed"))
+    rows = written(replayed(t), new_path(spark, "replayed"))
     states = written(with_states(replay_steps(rows, t.task), scenario_totals(t.task, t.satellite)), new_path(spark, "states"))
-    blocked = written(with_blockers(choices(t), rows.where("accepted"), t.satellite), new_path(spark, "blocked"))
+    blocked = written(blocked_choices(t, rows).drop("load"), new_path(spark, "blocked"))
     values = action_values(states, blocked, horizon, WEIGHTS["mixed"])
     return values.select(*KEY, F.col("step").cast("int").alias("step"), "action", "taken", F.round(F.col("value") * 1e6, 3).alias("value_ppm"))
 

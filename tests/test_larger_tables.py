@@ -62,3 +62,18 @@ def test_rows_of_a_crowded_satellite_are_judged_as_by_the_loop(spark):
             df = df.withColumns({"gb": F.lit(0.25), "w": F.lit(1.0), "max_gb": F.lit(1.0), "max_w": F.lit(0.0)})
         got = replay.accepted_rows(df, satellite, F.struct((-F.col("priority")).alias("p"), "task_id"), limits)
         assert got.count() == 400 and {r.task_id for r in got.where("accepted").collect()} == want
+
+
+def test_choices_meet_lists_of_their_satellite(spark):
+    """The same first blockers as by choice, loads of a plain sum, and no choice is dealt again after it is listed."""
+    t = Scenarios(spark, SF)
+    rows = replay.replayed(t).where("scenario_id = 'S1997'").cache()
+    got = replay.blocked_choices(t, rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.index(f"Generate {g}") for g in ("posexplode", "explode")) < plan.index("Join")  # from the top
+    got = {(r.schedule_id, r.window_id, r.k): (r.first, r.load, r.step, r.satellite_id) for r in got.collect()}
+    want = replay.with_blockers(replay.choices(t).where("scenario_id = 'S1997'"), rows.where("accepted"), t.satellite).collect()
+    assert {k: v[0] for k, v in got.items()} == {(r.schedule_id, r.window_id, r.k): r.first for r in want}
+    held = rows.where("accepted").collect()
+    for (schedule, *_), (_, load, step, sat) in list(got.items())[:300]:
+        assert load == sum(r.duration_s for r in held if r.schedule_id == schedule and r.satellite_id == sat and r.step < step)
