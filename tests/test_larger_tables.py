@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orbweave.operators import candidates, replay, rules
+from orbweave.operators import candidates, conflicts, replay, rules, sweeps
 from orbweave.tables import Scenarios
 
 from .conftest import SF
@@ -77,3 +77,18 @@ def test_choices_meet_lists_of_their_satellite(spark):
     held = rows.where("accepted").collect()
     for (schedule, *_), (_, load, step, sat) in list(got.items())[:300]:
         assert load == sum(r.duration_s for r in held if r.schedule_id == schedule and r.satellite_id == sat and r.step < step)
+
+
+def test_segments_are_swept_by_satellite(spark):
+    """The same segments as from listed shortages and times, with crowded, touching and repeated windows; windows are dealt once."""
+    rng = random.Random(5)
+    rows = [("S", i, rng.choice([1, 2, 3]), rng.randrange(40), s := rng.choice([rng.randrange(900), rng.randrange(0, 900, 30), 5_000]), s + rng.choice([10, 30, 55, 400]), 10, rng.choice([rng.randrange(500), None])) for i in range(250)]
+    schema = "scenario_id string, window_id long, satellite_id long, task_id long, start_s long, end_s long, step_s long, seed long"
+    w = spark.createDataFrame(rows + rows[:5], schema)
+    satellite = spark.createDataFrame([(1, "agile"), (2, "non_agile")], "satellite_id long, maneuverability string")
+    want = sweeps.conflict_segments(w, conflicts.adjacent_shortages(w, satellite))
+    got = sweeps.swept_segments(w.drop("window_id"), satellite)
+    plain = lambda df: sorted((r.satellite_id, r.start_s, r.end_s, tuple(r.tasks), r.n_tasks, r.kind) for r in df.collect())
+    assert plain(got) == plain(want) and {r[-1] for r in plain(got)} == {"Overlap", "Mixed", "Transition"}
+    plan = sweeps.conflict_timeline(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Generate" not in plan
