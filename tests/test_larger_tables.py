@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orbweave.operators import candidates, conflicts, replay, rules, sweeps
+from orbweave.operators import candidates, conflicts, firstfit, grouped, replay, rules, sweeps
 from orbweave.tables import Scenarios
 
 from .conftest import SF
@@ -92,3 +92,39 @@ def test_segments_are_swept_by_satellite(spark):
     assert plain(got) == plain(want) and {r[-1] for r in plain(got)} == {"Overlap", "Mixed", "Transition"}
     plan = sweeps.conflict_timeline(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Generate" not in plan
+
+
+def _items(spark, rng, one, worlds=("A", "B")):
+    rows = [
+        (w, rng.choice([1, 2, 3, None]), (task := rng.randrange(30)), i, task % 3, rng.randrange(0, 300, 5), 10, [0] if one else sorted(rng.sample(range(4), rng.randint(0, 3))), 12)
+        for w in worlds for i in range(150)
+    ]
+    schema = "scenario_id string, satellite_id long, task_id long, window_id long, p long, start_s long, step_s long, ks array<long>, duration_s long"
+    return rows, spark.createDataFrame(rows, schema).withColumn("turn_s", F.lit(3.0))
+
+
+def test_first_fits_equal_the_loop(spark):
+    """Crowded satellites, tasks with several windows on one and on many, offsets on no satellite, ranks of tasks and of items."""
+    for seed in (1, 2, 3):
+        for rank in (("task_id",), ("p", "start_s", "window_id")):
+            rows, items = _items(spark, random.Random(seed), rank != ("task_id",))
+            busy, done, want = {}, set(), set()
+            offers = [(r, r[5] + 10 * k, k) for r in rows for k in r[7]]
+            of = lambda r: (r[2],) if rank == ("task_id",) else (r[4], r[5], r[3])
+            for r, s, k in sorted(offers, key=lambda o: (*of(o[0]), o[1], o[0][3], o[2])):
+                own = busy.setdefault(r[:2], []) if r[1] else []
+                if (r[0], r[2]) not in done and all(s + 12 + 3 <= x or x + 12 + 3 <= s for x in own):
+                    own.append(s)
+                    done.add((r[0], r[2]))
+                    want.add((r[0], r[1], r[2], r[3], k))
+            got = firstfit.first_fits(items.withColumn("rank", F.array(*rank)).drop("p"), ["scenario_id"])
+            assert {(r.scenario_id, r.satellite_id, r.task_id, r.window_id, r.k) for r in got.collect()} == want
+    assert firstfit.first_fits(items.withColumn("rank", F.array("p")).drop("p").limit(0), ["scenario_id"]).count() == 0
+
+
+def test_balance_streams_as_the_group_chose(spark):
+    t = Scenarios(spark, SF)
+    w = t.placed_window.select("scenario_id", "task_id", "priority", "duration_s", "satellite_id", "window_id", "start_s")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(grouped.balance_selection(w)) == rows(grouped.run_algorithm(w, "balance_first"))
+    assert "InPandas" not in grouped.greedy_schedules(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
