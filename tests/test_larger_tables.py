@@ -128,3 +128,12 @@ def test_balance_streams_as_the_group_chose(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(grouped.balance_selection(w)) == rows(grouped.run_algorithm(w, "balance_first"))
     assert "InPandas" not in grouped.greedy_schedules(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heuristics_never_list_candidates_or_conflicts(spark, monkeypatch):
+    """What travels are windows: the items of first_fits() are as many as windows and algorithms, whatever their offsets."""
+    t, seen = Scenarios(spark, SF), []
+    monkeypatch.setattr(replay, "first_fits", lambda items, world: seen.append(items) or firstfit.first_fits(items, world))
+    assert replay.first_fit_selections(t, ["profit_first"]).count() > 0
+    windows, offsets = seen[0].count(), candidates.candidates_of(t).count()
+    assert windows == seen[0].select("scenario_id", "window_id").distinct().count() and windows * 3 < offsets
