@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orbweave.operators.trajectories import KEY, steps
-from orbweave.tables import BOUND, Scenarios
+from orbweave.tables import BOUND, RUNS, Scenarios
 
 COMMON = ("state_features", "candidate_features", "candidate_keys", "valid_mask", "expert_action_index")
 #: What rows of each schema version need besides; rows without a version are like v1.
@@ -154,15 +154,17 @@ def _score(start: Column, length: Column) -> Column:
 def prediction_quality(spark, sf_dir: str) -> DataFrame:
     """How well a linear score of start and length predicts the bound schedules; the skip has a score of its own."""
     t = Scenarios(spark, sf_dir)
-    s = steps(t.kept_assignment, t.task).select(*KEY, "task_id", "step", F.col("window_id").alias("expert_id"))
-    w = t.task_window.select("scenario_id", "task_id", "window_id", "start_s", "end_s")
-    w = w.withColumn("action", F.row_number().over(Window.partitionBy("scenario_id", "task_id").orderBy("start_s", "window_id")))
-    c = s.join(w, ["scenario_id", "task_id"])
-    size = F.count("*").over(Window.partitionBy(*KEY, "step"))
-    label = F.coalesce(F.max(F.when(F.col("window_id") == F.col("expert_id"), F.col("action"))).over(Window.partitionBy(*KEY, "step")), F.lit(0))
-    c = c.select(*KEY, "step", "action", _score(F.col("start_s"), F.col("end_s") - F.col("start_s")).alias("score"), label.alias("label"), (size + 1).alias("n_before"))
-    skip = c.where("action = 1").withColumns({"action": F.lit(0), "score": F.lit(-4.0)})
-    return prediction_quality_of(c.unionByName(skip), ["schedule_id"], ["scenario_id", "step"])
+    # windows are dealt once, by tasks; a task's windows, its schedules and what is predicted of it stay where they are
+    task = ["part", "scenario_id", "step"]
+    w = t.dealt_window.withColumn("action", F.row_number().over(Window.partitionBy(*task).orderBy("start_s", "window_id")))
+    w = w.withColumn("n_before", F.count("*").over(Window.partitionBy(*task)) + 1)
+    labels = [F.coalesce(F.max(F.when(F.col("picks").bitwiseAND(1 << i) > 0, F.col("action"))).over(Window.partitionBy(*task)), F.lit(0)).alias(f"label{i}") for i in range(len(RUNS))]
+    w = w.select(*task, "action", "n_before", _score(F.col("start_s"), F.col("end_s") - F.col("start_s")).alias("score"), *labels)
+    skip = F.struct(F.lit(0).alias("action"), F.lit(-4.0).alias("score"))
+    own = F.struct("action", "score")
+    w = w.select(*task, "n_before", F.inline(F.when(F.col("action") == 1, F.array(skip, own)).otherwise(F.array(own))), F.array(*[f"label{i}" for i in range(len(RUNS))]).alias("labels"))
+    c = w.join(F.broadcast(t.runs), "scenario_id").select("*", F.inline("runs")).withColumn("label", F.get("labels", F.col("run")))
+    return prediction_quality_of(c.drop("runs", "labels", "run"), ["schedule_id"], task)
 
 
 _ROWS = """o AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY priority DESC, task_id) - 1 AS step FROM task),
